@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintframe.llm.common import named
+
 SYSTEM = "system"
 END = "<|end|>\n"
 
@@ -23,13 +25,13 @@ END = "<|end|>\n"
 def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, perspective, rendered, mask): one row for each conversation and participant; one shuffle by conv_id."""
     plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
-    rows = turns.where(F.col(conv_id).isNotNull()).select(
-        F.col(conv_id).alias("conv_id"),
+    rows = turns.where(named(conv_id).isNotNull()).select(
+        named(conv_id).alias("conv_id"),
         F.struct(
-            F.col(turn).isNull().alias("last"),
-            F.col(turn).alias("turn"),
-            plain(F.coalesce(F.nullif(F.trim(F.col(role)), F.lit("")), F.lit("unknown"))).alias("who"),
-            plain(F.coalesce(F.col(text), F.lit(""))).alias("body"),
+            named(turn).isNull().alias("last"),
+            named(turn).alias("turn"),
+            plain(F.coalesce(F.nullif(F.trim(named(role)), F.lit("")), F.lit("unknown"))).alias("who"),
+            plain(F.coalesce(named(text), F.lit(""))).alias("body"),
         ).alias("t"),
     )
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import small_enough, staged
+from glintframe.llm.common import fresh, named, small_enough, staged
 
 PREFIX_CHARS = 256
 #: Group keys (20 bytes each) up to which they are broadcast to the second pass.
@@ -24,11 +24,11 @@ BROADCAST_KEYS = 2_000_000
 
 def _ranked(docs: DataFrame, doc_id: str, text: str, prefix_chars: int, broadcast_keys: int) -> DataFrame:
     """Rows of groups with more than one row: _id, the group's key, its kept id and the row's place in it."""
-    keyed = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("_id"),
-        F.octet_length(F.col(text)).cast("long").alias("_len"),
-        F.xxhash64(F.substring(F.col(text), 1, prefix_chars)).alias("_prefix"),
-        F.col(text).alias("_text"),
+    keyed = docs.where(named(text).isNotNull()).select(
+        named(doc_id).alias("_id"),
+        F.octet_length(named(text)).cast("long").alias("_len"),
+        F.xxhash64(F.substring(named(text), 1, prefix_chars)).alias("_prefix"),
+        named(text).alias("_text"),
     )
     narrow = staged(keyed.select("_id", "_len", "_prefix"))
     lengths = narrow.groupBy("_len").count().where("count > 1").select("_len")
@@ -66,17 +66,17 @@ def drop_exact_duplicates(
     by_id = dropped.where("doc_id is not null and doc_id <> duplicate_of").select("doc_id").distinct()
     unclear = dropped.where("doc_id is null or doc_id = duplicate_of").select("duplicate_of").distinct()
     n, m = by_id.count(), unclear.count()
-    names = docs.columns
-    tagged = docs.join(small_enough(by_id.select(F.col("doc_id").alias("_drop")), n, broadcast_keys), F.col(doc_id) == F.col("_drop"), "left_anti")
+    drop, again, place = fresh(docs, "_drop", "_again", "_place")
+    gone = small_enough(by_id.select(F.col("doc_id").alias(drop)), n, broadcast_keys)
+    rest = docs.join(gone, named(doc_id) == F.col(drop), "left_anti")
     if not m:
-        return tagged
-    again = small_enough(unclear.where("duplicate_of is not null").select(F.col("duplicate_of").alias("_again")), m, broadcast_keys)
-    named, same = tagged.where(F.col(doc_id).isNotNull()), F.col(doc_id) == F.col("_again")
-    repeated = named.join(again, same, "left_semi").unionByName(tagged.where(F.col(doc_id).isNull()))
-    rest = named.join(again, same, "left_anti")
-    w = Window.partitionBy(F.sha2(F.col(text), 256)).orderBy(F.col(doc_id).asc_nulls_last())
-    once = repeated.withColumn("_place", F.row_number().over(w)).where((F.col("_place") == 1) | F.col(text).isNull()).select(names)
-    return rest.unionByName(once)
+        return rest
+    shared = small_enough(unclear.where("duplicate_of is not null").select(F.col("duplicate_of").alias(again)), m, broadcast_keys)
+    with_id, same = rest.where(named(doc_id).isNotNull()), named(doc_id) == F.col(again)
+    repeated = with_id.join(shared, same, "left_semi").unionByName(rest.where(named(doc_id).isNull()))
+    w = Window.partitionBy(F.sha2(named(text), 256)).orderBy(named(doc_id).asc_nulls_last())
+    once = repeated.withColumn(place, F.row_number().over(w)).where((F.col(place) == 1) | named(text).isNull()).drop(place)
+    return with_id.join(shared, same, "left_anti").unionByName(once)
 
 
 SQL = """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import slices, utf8
+from glintframe.llm.common import named, slices, utf8
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -188,15 +188,15 @@ def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256,
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on a sample of the labelled rows, about sample_per_lang of each language, chosen by a hash of the id."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+    labelled = docs.where(named(lang).isNotNull() & named(doc_id).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not sizes:
         raise ValueError("language identification needs labelled documents")
     space = 1 << 40
     limit = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(space, space * sample_per_lang // n))])
     chosen = labelled.where(
-        F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(space)) < F.element_at(limit, F.col(lang))
-    ).where(F.length(F.col(text)) > 0)
+        F.pmod(F.xxhash64(named(doc_id).cast("string")), F.lit(space)) < F.element_at(limit, named(lang))
+    ).where(F.length(named(text)) > 0)
     rows = sorted(chosen.select(lang, text).collect())
     return fit([r[1] for r in rows], [r[0] for r in rows])
 
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 names = langs.take(pa.array(best))
                 yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(conf), pa.array(best < len(model.langs) - 1)], ["doc_id", "pred_lang", "confidence", "accepted"])
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(score, f"doc_id {kind}, pred_lang string, confidence double, accepted boolean")
 

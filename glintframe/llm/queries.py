@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintframe.llm import chat_format, exact_dedup, langid, secret_scan, simhash, winnowing
+from glintframe.llm import chat_format, exact_dedup, langid, piece_codec, secret_scan, simhash, source_mix, winnowing
 from glintframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,16 +29,24 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_pairs(documents(spark, sf_dir))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_chat_format, op6_winnowing, op8_simhash_near_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_chat_format, op6_winnowing, op7_sentencepiece, op8_simhash_near_dedup, op9_source_mix, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import slices, small_enough, staged
+from glintframe.llm.common import fresh, named, slices, small_enough, staged
 
 RADIUS = 20
 BANDS = 7
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 part = pa.RecordBatch.from_arrays([b.column(0), pa.array(f[:, 0].view(np.int64)), pa.array(f[:, 1].view(np.int64))], ["doc_id", "hi", "lo"])
                 yield part.filter(pa.array(some))
 
-    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.where(named(doc_id).isNotNull() & named(text).isNotNull()).select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, hi bigint, lo bigint")
 
 
@@ -267,8 +267,9 @@ def groups(pairs: DataFrame, rounds: int = 100) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """The input with one document, that of the smallest id, of each connected group of near copies; columns stay."""
-    found = staged(groups(near_pairs(docs, doc_id, text, radius, bands, shard_points)).select(F.col("doc_id").alias("_drop")).distinct())
-    return docs.join(small_enough(found, found.count(), BROADCAST_IDS), F.col(doc_id) == F.col("_drop"), "left_anti")
+    (drop,) = fresh(docs, "_drop")
+    found = staged(groups(near_pairs(docs, doc_id, text, radius, bands, shard_points)).select(F.col("doc_id").alias(drop)).distinct())
+    return docs.join(small_enough(found, found.count(), BROADCAST_IDS), named(doc_id) == F.col(drop), "left_anti")
 
 
 def _sql() -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import slices, utf8
+from glintframe.llm.common import named, slices, utf8
 
 K = 32
 W = 64
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
                     ["doc_id", "hashes", "positions"],
                 )
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(work, f"doc_id {kind}, hashes array<bigint>, positions array<int>")
 
