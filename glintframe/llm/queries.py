@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glintframe.llm import chat_format, exact_dedup, langid, piece_codec, secret_scan, simhash, source_mix, winnowing
+from glintframe.llm import chat_format, exact_dedup, langid, piece_codec, secret_scan, simhash, source_mix, suffix_dedup, token_binary, winnowing
 from glintframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return token_binary.encode(docs, token_binary.train_dictionary(docs))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(documents(spark, sf_dir))
 
@@ -46,8 +55,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_chat_format, op6_winnowing, op7_sentencepiece, op8_simhash_near_dedup, op9_source_mix, op10_secret_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id,
+            op2_exact_dedup,
+            op3_suffix_dedup,
+            op4_chat_format,
+            op5_token_binary,
+            op6_winnowing,
+            op7_sentencepiece,
+            op8_simhash_near_dedup,
+            op9_source_mix,
+            op10_secret_scan,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op4_chat_format": chat_format.SQL, "op6_winnowing": winnowing.SQL, "op8_simhash_near_dedup": simhash.SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op3_suffix_dedup": suffix_dedup.SQL,
+        "op4_chat_format": chat_format.SQL,
+        "op6_winnowing": winnowing.SQL,
+        "op8_simhash_near_dedup": simhash.SQL,
+    }
