@@ -90,10 +90,10 @@ def _round_groups(rows: DataFrame, seed: int) -> DataFrame:
     """Pivotal rounding within each (node, source); extra is null for the one open unit, p its fraction."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if batches is not None else None
-        if t is None or not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        t = t.combine_chunks()
+        t = pa.Table.from_batches(held).combine_chunks()
         node, key = t.column("node").to_numpy(), t.column("key").to_numpy()
         code = t.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         unit = t.column("unit").to_numpy()
