@@ -3,10 +3,11 @@
 A text's UTF-8 bytes are folded to 76 classes (letters without case, digits, blanks, punctuation, lead bytes and
 continuation bytes) and cut into windows of 128 bytes. Filters of 2, 3 and 4 bytes slide over a window; each
 filter's largest response goes through a ReLU and a softmax layer gives the languages and one more class, "und",
-for what is no language: it is trained on random letters, digits, encoded data and bytes. A document's
+for what is no language: it is trained on random letters, digits, encoded data and bytes, and is sure for windows without a letter. A document's
 probabilities are the means of its windows', weighted by their length; every window of the whole text counts.
 
-A document is accepted if its best class is a language. Null and empty texts have no window: their pred_lang is
+A document is rejected, as "und", if that class has a probability of REJECT or more; else it has its best language,
+with that one's probability as confidence. Null and empty texts have no window: their pred_lang is
 "und", their confidence 0.0 and they are rejected. Null ids stay as they are, repeated rows give equal rows, ties
 go to the first language by name, and other columns are ignored (``identify``) or passed through
 (``keep_identified``). An empty table gives an empty result. Without labelled rows training fails with ValueError.
@@ -28,6 +29,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 UND = "und"
+#: Probability of "und" from which a document is rejected.
+REJECT = 0.7
 #: Bound of the training sample: about so many labelled documents of each language, chosen by a hash of the id.
 SAMPLE_PER_LANG = 400
 #: Windows of one document that training looks at.
@@ -59,6 +62,9 @@ CLASS = _classes()
 N_CLASS = 76
 
 
+_LETTER = np.array([0 < c < 27 or c > 33 for c in range(256)])
+
+
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of the texts' windows, (n, WINDOW + 3) and zero beyond the text; each window's text and length."""
     size = np.diff(off)
@@ -111,7 +117,7 @@ class Model:
 
 def _noise(n: int, rng: np.random.Generator, texts: list[bytes]) -> list[bytes]:
     """Windows of no language: encoded data, digits, random letters, bytes and marks, and shuffled text."""
-    sets = [b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"0123456789 .,-", b"abcdefghijklmnopqrstuvwxyz ", bytes(range(33, 127)), b"#$%&*+-=_|~^@!<>", bytes(range(128, 256))]
+    sets = [b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"0123456789 .,-", b"abcdefghijklmnopqrstuvwxyz ", bytes(range(33, 127)), b"#$%&*+-=_|~^@!<> ", bytes(range(128, 256))]
     out = []
     for i in range(n):
         if i % 8 == 7 and texts:
@@ -153,8 +159,9 @@ def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256,
     rows = np.arange(batch)[:, None]
     for step in range(1, steps + 1):
         pick = rng.choice(len(x), batch, p=chance)
-        keep = np.where((rng.random(batch) < 0.35) & (y[pick] < k - 1), rng.integers(6, WINDOW, batch), WINDOW)
+        keep = np.where((rng.random(batch) < 0.35) & (y[pick] < k - 1), rng.integers(4, WINDOW, batch), WINDOW)
         xb = np.where(np.arange(WINDOW + 3) < np.minimum(keep, length[pick])[:, None], x[pick], 0).astype(np.intp)
+        yb = np.where(_LETTER[xb].any(1), y[pick], k - 1)  # without a letter it is no language, wherever it was cut out
         top, arg = [], []
         for w in WIDTHS:
             z = sum(p[f"w{w}"][j][xb[:, j : j + WINDOW]] for j in range(w))
@@ -166,7 +173,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256,
         z = hid @ p["d"] + p["c"]
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
-        z[np.arange(batch), y[pick]] -= 1
+        z[np.arange(batch), yb] -= 1
         z /= batch
         grad = {"d": hid.T @ z + 1e-4 * p["d"], "c": z.sum(0)}
         back = (z @ p["d"].T) * (pre > 0)
@@ -202,17 +209,19 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def _document_scores(model: Model, here: np.ndarray, on: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Best class and its probability for each text."""
+    """The class that each text gets, and its probability."""
     data, off = utf8(column)
     n = len(off) - 1
     x, text, length = windows(data, off)
-    prob = model.probabilities(x, here, on) * length[:, None]
+    prob = model.probabilities(x, here, on)
+    prob[~_LETTER[x].any(1)] = np.eye(prob.shape[1])[-1]
+    prob *= length[:, None]
     total = np.zeros((n, prob.shape[1]))
     for c in range(prob.shape[1]):
         total[:, c] = np.bincount(text, prob[:, c], n)
     size = np.diff(off)
     total /= np.maximum(size, 1)[:, None]
-    best = np.where(size > 0, total.argmax(1), len(model.langs) - 1)
+    best = np.where((size > 0) & (total[:, -1] < REJECT), total[:, :-1].argmax(1), len(model.langs) - 1)
     return best, np.where(size > 0, total[np.arange(n), best], 0.0)
 
 
