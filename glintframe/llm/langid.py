@@ -247,13 +247,15 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose text is accepted; columns stay. No shuffle: rows are filtered where they are read."""
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow can't take names with dots
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, on = model.tables()
         for batch in batches:
-            for b in slices(batch, text, SLICE_BYTES):
+            for b in slices(batch, f"c{at}", SLICE_BYTES):
                 best, _ = _document_scores(model, here, on, b.column(at))
-                yield b.filter(pa.array(best < len(model.langs) - 1))
+                kept = b.filter(pa.array(best < len(model.langs) - 1))
+                yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, docs.schema)
