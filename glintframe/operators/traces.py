@@ -5,6 +5,7 @@ All of them partition by the key and order by t, so that a chain of them shares
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def find_peaks_distance(df: DataFrame, height: float, distance: int) -> DataFram
 
     peaks = find_peaks(df, left_edge=False).where(F.col(V) >= height)
 
-    def thin(key, pdf):
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(T)
         return pdf[thin_peaks(pdf[T].to_numpy(), pdf[V].to_numpy(), distance)]
 
