@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import named, slices, utf8
+from glintframe.llm.common import named, slices, tidy, utf8
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -225,7 +225,7 @@ def _document_scores(model: Model, here: np.ndarray, on: np.ndarray, column: pa.
     return best, np.where(size > 0, total[np.arange(n), best], 0.0)
 
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(score, f"doc_id {kind}, pred_lang string, confidence double, accepted boolean")
+    return source.mapInArrow(tidy(score), f"doc_id {kind}, pred_lang string, confidence double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -258,4 +258,4 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
                 kept = b.filter(pa.array(best < len(model.langs) - 1))
                 yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return plain.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(tidy(keep), docs.schema)

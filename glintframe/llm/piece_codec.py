@@ -32,13 +32,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import named, slices, utf8
+from glintframe.llm.common import named, slices, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Words whose encoding a worker keeps between batches; more are encoded again.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
+#: Pairs of pieces whose compatibility it keeps.
+CACHED_PAIRS = 1 << 18
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -67,8 +69,10 @@ class PieceModel:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.usable = {p: i for p, i in self.ids.items() if self.parts[i] is not None}
+        #: Pairs of characters that stand side by side in some piece.
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.usable))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.bytes = [
             bytes([self.byte_ids.index(i)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(BLANK, " ").encode() if not sp.is_unknown(i) else " ⁇ ".encode()
             for i, p in enumerate(self.pieces)
@@ -94,10 +98,10 @@ class PieceModel:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether re-merging the text of two neighbouring pieces gives these two."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 4_000_000:
+            if len(self._fits) >= CACHED_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._remerge(left, right)
         return known
@@ -119,6 +123,23 @@ class PieceModel:
             else:  # a join across the border lies further left, so it wins a tie against this merge
                 limit, right = rank[right] + 1, b[0]
 
+    def encode_parts(self, word: str, known: dict[str, list[int]]) -> list[int]:
+        """Pieces of a word, cut where no piece holds both characters: no merge goes across, and the parts recur."""
+        joins = self.joins
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
+        out: list[int] = []
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            part = word[a:b]
+            e = known.get(part)
+            if e is None:
+                e = self.encode_word(part)
+                if len(known) < CACHED_WORDS:
+                    known[part] = e
+            out += e
+        if cuts and len(known) < CACHED_WORDS:
+            known[word] = out
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Pieces of a text that holds blanks only at its start."""
         # The automaton's longest matches from the left are the first way that backtracking goes.
@@ -211,11 +232,10 @@ def _encode_batch(m: PieceModel, texts: pa.Array, known: dict[str, list[int]]) -
     codes = coded.indices.to_numpy()
     table: list[list[int]] = []
     for w in coded.dictionary.to_pylist():
+        w = BLANK + w
         e = known.get(w)
         if e is None:
-            e = m.encode_word(BLANK + w) if BLANK not in w else []
-            if len(known) < CACHED_WORDS:
-                known[w] = e
+            e = m.encode_parts(w, known) if w.rfind(BLANK) == 0 else []  # words with the mark itself are in odd texts
         table.append(e)
     size = np.fromiter(map(len, table), np.int64, len(table))
     flat = np.fromiter((i for e in table for i in e), np.int32, int(size.sum()))
@@ -273,7 +293,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
+    return source.mapInArrow(tidy(work), f"doc_id {kind}, ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -286,4 +306,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     source = encoded.select("doc_id", "ids")
-    return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return source.mapInArrow(tidy(work), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")

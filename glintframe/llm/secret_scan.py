@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import named, slices, utf8
+from glintframe.llm.common import named, slices, tidy, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,4 +120,4 @@ def scan(
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, start_char bigint, end_char bigint, n_tokens int, chars_per_token double")
+    return source.mapInArrow(tidy(work), f"doc_id {kind}, start_char bigint, end_char bigint, n_tokens int, chars_per_token double")

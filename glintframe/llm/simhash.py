@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import fresh, named, slices, small_enough, staged
+from glintframe.llm.common import fresh, named, slices, small_enough, staged, tidy
 
 RADIUS = 20
 BANDS = 7
@@ -40,7 +40,7 @@ BANDS = 7
 SHARD_POINTS = 262_144
 LEAF = 24
 WORD = r"[^\p{L}\p{N}]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BROADCAST_IDS = 2_000_000
 
 
@@ -76,7 +76,7 @@ def simhash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
     new = np.flatnonzero((place % 255) == 0)
     votes = np.zeros((n, 128), np.int64)
-    step = 1 << 12
+    step = 1 << 9
     for a in range(0, len(new), step):
         starts = new[a : a + step]
         end = new[a + step] if a + step < len(new) else len(word)
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 yield part.filter(pa.array(some))
 
     source = docs.where(named(doc_id).isNotNull() & named(text).isNotNull()).select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
-    return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, hi bigint, lo bigint")
+    return source.mapInArrow(tidy(work), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, hi bigint, lo bigint")
 
 
 def band_widths(bands: int) -> list[int]:
@@ -217,7 +217,7 @@ def near_points(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BA
         # Each pair is found from both ends, as every point is a query.
         return pa.table({"a": a, "b": b, "hamming": pa.array(d, pa.int32())}).filter(pc.less(a, b))
 
-    sent = points.select("doc_id", "hi", "lo").mapInArrow(send, f"doc_id {kind}, hi bigint, lo bigint, shard bigint, bound tinyint")
+    sent = points.select("doc_id", "hi", "lo").mapInArrow(tidy(send), f"doc_id {kind}, hi bigint, lo bigint, shard bigint, bound tinyint")
     return sent.groupBy("shard").applyInArrow(solve, f"a {kind}, b {kind}, hamming int")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import fresh, mix64, named, small_enough, staged
+from glintframe.llm.common import fresh, mix64, named, small_enough, staged, tidy
 
 ALPHA = 0.85
 SEED = 20240229
@@ -108,7 +108,7 @@ def _round_groups(rows: DataFrame, seed: int) -> DataFrame:
         out = pa.table({"node": t["node"], "source": t["source"], "unit": t["unit"], "key": t["key"], "p": pa.array(p), "extra": pa.array(extra, mask=extra < 0)})
         yield from out.to_batches()
 
-    return rows.mapInArrow(work, _SCHEMA)
+    return rows.mapInArrow(tidy(work), _SCHEMA)
 
 
 def mix(

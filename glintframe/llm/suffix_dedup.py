@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import char_index, mix64, named, slices, staged, utf8, words
+from glintframe.llm.common import char_index, mix64, named, slices, staged, tidy, utf8, words
 
 MIN_WORDS = 50
 GRAM = 8
 #: Words of one suffix array.
-SHARD_WORDS = 1 << 20
-SLICE_BYTES = 4 << 20
+SHARD_WORDS = 1 << 19
+SLICE_BYTES = 2 << 20
 #: Windows that one merging task gets on average, and documents with candidates up to which these are broadcast.
 MERGE_ROWS = 1 << 20
 BROADCAST_KEYS = 4_000_000
@@ -264,7 +264,7 @@ def repeated_passages(
             none = pa.nulls(len(key), pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(key.view(np.int64)), pa.array(shard), none, none], ["doc_id", "key", "shard", "start_char", "end_char"])
 
-    found = staged(rows.mapInArrow(local, f"doc_id {kind}, key bigint, shard bigint, start_char bigint, end_char bigint"))
+    found = staged(rows.mapInArrow(tidy(local), f"doc_id {kind}, key bigint, shard bigint, start_char bigint, end_char bigint"))
     keys = found.where("key is not null").select("doc_id", "key", "shard")
     crossing = keys.groupBy("key").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b")).where("_a <> _b").select("key")
     wanted = staged(keys.join(crossing, "key").groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).withColumnRenamed("doc_id", "_owner"))
@@ -301,7 +301,7 @@ def repeated_passages(
                     ["doc_id", "h", "g", "run", "start_char", "end_char"],
                 )
 
-    windows = chosen.mapInArrow(emit, f"doc_id {kind}, h bigint, g bigint, run int, start_char int, end_char int")
+    windows = chosen.mapInArrow(tidy(emit), f"doc_id {kind}, h bigint, g bigint, run int, start_char int, end_char int")
     # A key is the smallest of min_words - gram + 1 hashes, so it stands for half as many windows on average.
     parts = max(1, -(-size * (min_words - gram + 2) // (2 * merge_rows)))
 
@@ -317,7 +317,7 @@ def repeated_passages(
         hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
         yield from t.take(pa.array(hit)).select(["doc_id", "start_char", "end_char"]).to_batches()
 
-    across = windows.repartition(parts, "h").mapInArrow(merge, f"doc_id {kind}, start_char int, end_char int")
+    across = windows.repartition(parts, "h").mapInArrow(tidy(merge), f"doc_id {kind}, start_char int, end_char int")
     within = found.where("key is null").select("doc_id", F.col("start_char").cast("int"), F.col("end_char").cast("int"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def repeated_passages(
         yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(owner[begin])), pa.array(first[begin]), pa.array(np.maximum.reduceat(last, begin))], ["doc_id", "start_char", "end_char"])
 
     spans = across.unionByName(within)
-    return spans.repartition(max(parts, 1), "doc_id").mapInArrow(unite, f"doc_id {kind}, start_char bigint, end_char bigint")
+    return spans.repartition(max(parts, 1), "doc_id").mapInArrow(tidy(unite), f"doc_id {kind}, start_char bigint, end_char bigint")
 
 
 def merge_runs(h: np.ndarray, g: np.ndarray, run: np.ndarray) -> np.ndarray:

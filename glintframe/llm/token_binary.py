@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import named, slices, staged
+from glintframe.llm.common import named, slices, staged, tidy
 from glintframe.llm.secret_scan import VOCABULARY, encoding
 
 #: Bound of the sample that the dictionary is trained on: about so many documents, chosen by a hash of the id.
@@ -102,7 +102,7 @@ def encode(docs: DataFrame, dictionary: bytes, doc_id: str = "doc_id", text: str
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, shard int, offset bigint, length int, n_tokens int, id_bytes tinyint, dict_hash string, payload binary")
+    return source.mapInArrow(tidy(work), f"doc_id {kind}, shard int, offset bigint, length int, n_tokens int, id_bytes tinyint, dict_hash string, payload binary")
 
 
 def decode_ids(payload: bytes, dictionary: bytes, width: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def decode(encoded: DataFrame, dictionary: bytes, vocabulary: str = VOCABULARY)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     source = encoded.select("doc_id", "dict_hash", "id_bytes", "payload")
-    return source.mapInArrow(work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return source.mapInArrow(tidy(work), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def write_shards(encoded: DataFrame, dictionary: bytes, path: str) -> None:

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import named, slices, utf8
+from glintframe.llm.common import named, slices, tidy, utf8
 
 K = 32
 W = 64
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _MAX = np.uint64((1 << 64) - 1)
 
 
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, hashes array<bigint>, positions array<int>")
+    return source.mapInArrow(tidy(work), f"doc_id {kind}, hashes array<bigint>, positions array<int>")
 
 
 def _doubling() -> str:
