@@ -130,7 +130,7 @@ def reference_image(movie: DataFrame, width: int) -> DataFrame:
     """(r, c, v, corr): mean times the correlation image, which is cut at 0 and divided by its largest value."""
     corr = correlation_image(movie, width).select("r", "c", F.greatest("v", F.lit(0.0)).alias("corr"))
     top = corr.agg(F.max("corr").alias("_top"))
-    corr = corr.crossJoin(F.broadcast(top)).select("r", "c", (F.col("corr") / F.col("_top")).alias("corr"))
+    corr = corr.crossJoin(F.broadcast(top)).select("r", "c", F.coalesce(F.try_divide("corr", "_top"), F.lit(0.0)).alias("corr"))
     return mean_image(movie).join(corr, ["r", "c"]).select("r", "c", (F.col("v") * F.col("corr")).alias("v"), "corr")
 
 

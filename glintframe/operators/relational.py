@@ -152,11 +152,11 @@ def apply_affine(df: DataFrame, m: list[list[float]], x: str = "x", y: str = "y"
 
 def fit_similarity(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(a, b, tx, ty) of x' = a x - b y + tx, y' = b x + a y + ty by least squares over (x, y, u, v); proper
-    similarities only. Scale is sqrt(a² + b²), rotation atan2(b, a)."""
+    similarities only; null for points that all coincide. Scale is sqrt(a² + b²), rotation atan2(b, a)."""
     cov, var = F.covar_pop, F.var_pop
     s = var("x") + var("y")
     g = (pairs.groupBy(*keys) if keys else pairs.groupBy()).agg(
-        ((cov("x", "u") + cov("y", "v")) / s).alias("a"), ((cov("x", "v") - cov("y", "u")) / s).alias("b"), F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.avg("u").alias("_u"), F.avg("v").alias("_v")
+        F.try_divide(cov("x", "u") + cov("y", "v"), s).alias("a"), F.try_divide(cov("x", "v") - cov("y", "u"), s).alias("b"), F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.avg("u").alias("_u"), F.avg("v").alias("_v")
     )
     tx = F.col("_u") - F.col("a") * F.col("_x") + F.col("b") * F.col("_y")
     ty = F.col("_v") - F.col("b") * F.col("_x") - F.col("a") * F.col("_y")
@@ -171,7 +171,7 @@ def fit_affine(pairs: DataFrame) -> DataFrame:
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("u").alias("mu"), F.avg("v").alias("mv"),
     )
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    solve = lambda p, q: ((F.col("yy") * F.col(p) - F.col("xy") * F.col(q)) / det, (F.col("xx") * F.col(q) - F.col("xy") * F.col(p)) / det)
+    solve = lambda p, q: (F.try_divide(F.col("yy") * F.col(p) - F.col("xy") * F.col(q), det), F.try_divide(F.col("xx") * F.col(q) - F.col("xy") * F.col(p), det))
     (a, b), (c, d) = solve("xu", "yu"), solve("xv", "yv")
     m = m.withColumns({"a": a, "b": b, "c": c, "d": d})
     return m.select("a", "b", (F.col("mu") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("tx"), "c", "d", (F.col("mv") - F.col("c") * F.col("mx") - F.col("d") * F.col("my")).alias("ty"))
@@ -301,4 +301,4 @@ def spread(df: DataFrame, value: str) -> DataFrame:
     """Coefficient of variation, and the best value less the second best."""
     w = Window.orderBy(F.col(value).desc())
     margin = df.select(F.col(value).alias("_v"), F.row_number().over(w).alias("_n")).where("_n <= 2").agg((F.max("_v") - F.min("_v")).alias("margin"))
-    return df.agg((F.stddev_pop(value) / F.avg(value)).alias("cv")).crossJoin(margin)
+    return df.agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv")).crossJoin(margin)

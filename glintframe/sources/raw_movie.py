@@ -28,7 +28,7 @@ class RawMovieReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if getattr(f, "attribute", None) == ("t",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("t",) and isinstance(getattr(f, "value", None), int):
                 if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
                     self.first = max(self.first, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
