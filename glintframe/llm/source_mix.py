@@ -44,7 +44,7 @@ def rates(docs: DataFrame, text: str = "text", source: str = "source", alpha: fl
         raw = mass.withColumn("raw", F.pow("mass", F.lit(alpha - 1.0)))
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w"))
-        raw = mass.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("raw", F.col("_w") / F.col("mass"))
+        raw = mass.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("raw", F.try_divide("_w", "mass"))
     raw = staged(raw.withColumn("raw", F.when((F.col("mass") > 0) & (F.col("raw") > 0), F.col("raw"))).select("source", "raw"))
     least = raw.agg(F.min("raw").alias("least"))  # one row
     return raw.crossJoin(F.broadcast(least)).select("source", F.coalesce(F.round(F.col("raw") / F.col("least"), 12), F.lit(1.0)).alias("rate"))
