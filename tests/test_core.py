@@ -433,3 +433,116 @@ def test_stream(spark, sf, tmp_path):
 def test_params():
     p = Params(bkg_ranges=((1, 750), (4100, 4200)), std_ranges=((10, 20),))
     assert p.clamped(100).bkg_ranges == ((1, 100),) and p.clamped(100).std_ranges == ((10, 20),)
+
+
+def test_hdf5_round_trip(spark, tmp_path):
+    import struct
+    import zlib
+
+    from glintframe.kernels import hdf5
+    from glintframe.sources import containers
+
+    rng = np.random.default_rng(16)
+    tree = {
+        "cell_traces": rng.normal(size=(3, 7)), "u": np.arange(6, dtype=np.uint16).reshape(2, 3), "f": np.float32([[1.5, 2]]), "i": np.int32([[-4]]),
+        "#refs#": {"a": {"deviceType": np.array([[ord(c)] for c in "Camera"], np.uint16)}, "b": {"deviceType": np.array([[ord(c) for c in "MAC5000_Stage_Controller"]], np.uint16), "pos": {"x": np.array([[-77642.4]]), "y": np.array([[27365.8]])}}},
+    }
+    data = hdf5.write(tree)
+    for shift in (b"", b"\0" * 512):
+        back = hdf5.read(shift + data)
+        for n in ("cell_traces", "u", "f", "i"):
+            assert back[n].dtype == tree[n].dtype and np.array_equal(back[n], tree[n])
+        assert hdf5.stage_position(back) == (-77642.4, 27365.8)
+    with pytest.raises(ValueError, match="signature"):
+        hdf5.read(b"nothing")
+    with pytest.raises(KeyError):
+        hdf5.stage_position({"u": tree["u"]})
+    # a chunked, deflated dataset in place of the contiguous one
+    a = rng.normal(size=(5, 4))
+    raw = bytearray(hdf5.write({"a": np.zeros((4, 5))}))
+    f = hdf5.File(bytes(raw))
+    at = next(p for k, p, _ in f.messages(next(f._symbols(f._ref(next(p for k, p, _ in f.messages(f.root) if k == 17)), f._ref(f._ref(next(p for k, p, _ in f.messages(f.root) if k == 17) + 8) + 24)))[1]) if k == 8)
+    keys = b""
+    for r0 in (0, 3):
+        for c0 in (0, 3):
+            block = np.zeros((3, 3))
+            part = a[r0 : r0 + 3, c0 : c0 + 3]
+            block[: part.shape[0], : part.shape[1]] = part
+            z = zlib.compress(block.tobytes()) if c0 else block.tobytes()
+            keys += struct.pack("<IIQQQ", len(z), 0 if c0 else 1, r0, c0, 0) + struct.pack("<Q", len(raw))
+            raw += z
+    node = len(raw)
+    raw += b"TREE" + struct.pack("<BBHQQ", 1, 0, 4, hdf5.NONE, hdf5.NONE) + keys
+    raw[at : at + 24] = struct.pack("<BBBQIII", 3, 2, 3, node, 3, 3, 8)[:23] + b"\0"
+    assert np.array_equal(hdf5.read(bytes(raw))["a"], a.T)
+    (tmp_path / "m.mat").write_bytes(data)
+    rows = {r["name"]: r for r in containers.read_arrays(spark, str(tmp_path / "m.mat")).collect()}
+    assert rows["u"]["shape"] == [2, 3] and rows["u"]["values"] == [0, 1, 2, 3, 4, 5] and "#refs#/b/pos/x" in rows
+    assert containers.read_stage_positions(spark, str(tmp_path / "m.mat")).first()["x"] == -77642.4
+
+
+def test_tiff(spark, tmp_path):
+    import struct
+
+    from glintframe.sources import containers
+
+    a = np.random.default_rng(17).integers(0, 60000, (2, 3, 4)).astype("<u2")
+    out, data = bytearray(b"II*\0\0\0\0\0"), []
+    for page in a:
+        data.append(len(out))
+        out += page.tobytes()
+    link = 4
+    for k in range(2):
+        struct.pack_into("<I", out, link, len(out))
+        tags = [(256, 3, 1, 4), (257, 3, 1, 3), (258, 3, 1, 16), (259, 3, 1, 1), (273, 4, 1, data[k]), (279, 4, 1, 24)]
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        link = len(out)
+        out += b"\0\0\0\0"
+    (tmp_path / "A-12.tif").write_bytes(out)
+    assert np.array_equal(containers.decode_tiff(bytes(out)), a)
+    rows = containers.read_tiles(spark, str(tmp_path)).collect()
+    assert {r["tile"] for r in rows} == {12} and next(r["px"] for r in rows if (r["ch"], r["r"]) == (1, 2)) == a[1, 2].tolist()
+
+
+def test_views(spark):
+    import json
+
+    from glintframe.operators import views
+
+    t = spark.createDataFrame([(k, i, float(k * i)) for k in (0, 1) for i in range(20)], "cell_id int, t int, v double")
+    got = views.rescale_traces(t, 5).collect()
+    assert len(got) == 30 and max(r["v"] for r in got) == 1 and {r["v"] for r in got if r["cell_id"] == 0} == {0.0}
+    f = spark.createDataFrame([(0, 3, 4, 0.5), (0, 4, 4, 1.0), (1, 0, 0, 2.0)], "cell_id int, r int, c int, w double")
+    crops = views.footprint_crops(f, 6, 8)
+    z = {r["cell_id"]: r for r in crops.collect()}
+    assert (z[0]["r0"], z[0]["c0"], len(z[0]["z"]), len(z[0]["z"][0])) == (1, 2, 5, 5) and z[0]["z"][3][2] == 1.0 and z[1]["z"][0][0] == 2.0
+    props = images.region_props(images.components(spark.createDataFrame([(3, 4), (4, 4), (0, 7)], "r int, c int"), 8))
+    panels = views.region_panels(f, props)
+    p = {r["cell_id"]: r for r in panels.collect()}
+    assert p[0]["region_diameter"] == round(2 * math.sqrt(2 / math.pi), 2) == p[0]["footprint_diameter"] and p[1]["region_id"] is None
+    m = spark.createDataFrame([(0, 0.5, None, 1.0, 3)], "cell_id int, noise_sigma double, snr_median double, spectral_hf_snr double, n_spikes int")
+    rec = {r["cell_id"]: json.loads(r["json"]) for r in views.explorer(t, m, crops, panels, 10.0, 5, 8).collect()}
+    assert rec[1]["Y"] == [float(i) for i in range(0, 15, 2)] and rec[0]["ns"] == 0.5 and rec[0]["nsp"] == 3 and "sm" not in rec[0]
+
+
+def test_orientation_of_a_round_well(spark):
+    from glintframe.operators import mosaics
+
+    # A bright ring seen by overlapping tiles; the stage's y axis runs against the rows.
+    y, x = np.mgrid[0:204, 0:204]
+    well = 100 * np.exp(-((np.hypot(y - 101.5, x - 101.5) - 87) ** 2) / 18) + np.random.default_rng(18).uniform(0, 5, (204, 204))
+    rows, meta = [], []
+    for k, (r, c) in enumerate((r, c) for r in range(0, 161, 40) for c in range(0, 161, 40)):
+        part = well[r : r + 44, c : c + 44]
+        rows += [(k, i, j, float(v)) for (i, j), v in np.ndenumerate(part)]
+        meta.append((k, c * 0.5, -r * 0.5))
+    tiles = spark.createDataFrame(rows, "tile int, r int, c int, v double").cache()
+    m = spark.createDataFrame(meta, "tile int, x_pos double, y_pos double")
+    scores = mosaics.orientation_scores(tiles, m, 0.5, 44, ds=2, bins=36).cache()
+    by = {(r["sx"], r["sy"], r["swap"]): r for r in scores.collect()}
+    best = mosaics.recover_axes(scores, 25)
+    assert best == (1, -1, False) and by[best]["ncc"] > 0.99 and by[best]["roughness"] == min(r["roughness"] for r in by.values())
+    mosaic, off, a = mosaics.build_mosaic(tiles, m, 0.5, 44, best)
+    assert np.array_equal(array(mosaic, (204, 204)), np.floor(well))
+    assert mosaics.affine_residual(m, off, a, 44).first()["residual"] < 0.51
+    assert mosaics.recover_axes(scores, 3) == (1, 1, False)
