@@ -50,3 +50,31 @@ def write_results(results: dict[str, DataFrame], path: str) -> None:
     """One parquet directory for each table."""
     for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def process_folder(spark, fov_dir: str, out_dir: str, params: Params | None = None, name: str = "frames1.bin") -> None:
+    """One field of view: shape from the sidecar or the data, all results written as tables."""
+    from glintframe.sources import raw_movie
+
+    p = params or Params()
+    pixels = raw_movie.detect_pixels(spark, fov_dir, name)
+    nrow, ncol = p.nrow, p.ncol
+    if nrow * ncol != pixels:
+        best = raw_movie.recover_dims(spark, f"{fov_dir}/{name}", pixels).first()
+        nrow, ncol = best["nrow"], best["ncol"]
+    movie = raw_movie.to_long(raw_movie.read_frames(spark, f"{fov_dir}/{name}", nrow, ncol), ncol)
+    write_results(process_movie(movie, nrow, ncol, p), out_dir)
+
+
+def process_folders(spark, root: str, params: Params | None = None, name: str = "frames1.bin") -> DataFrame:
+    """(folder, error): every sub-folder in order of name, a failure noted and the others done."""
+    import os
+
+    rows = []
+    for d in sorted(e.name for e in os.scandir(root) if e.is_dir()):
+        try:
+            process_folder(spark, f"{root}/{d}", f"{root}/{d}/analysis", params, name)
+            rows.append((d, None))
+        except Exception as e:  # noqa: BLE001 - one field's failure must not stop the others
+            rows.append((d, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(rows, "folder string, error string")

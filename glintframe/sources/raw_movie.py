@@ -103,3 +103,47 @@ def recover_dims(spark: SparkSession, path: str, pixels: int, lo: int = 100, hi:
     if not pairs:
         raise ValueError(f"no two numbers in [{lo}, {hi}] give {pixels} pixels")
     return smoothness(frames.withColumn("v", F.col("v").cast("double")), pairs).orderBy(F.col("score").desc(), F.col("nrow").desc())
+
+
+def _adjacent(img: np.ndarray) -> float:
+    """Mean of the correlations of horizontal and vertical neighbours."""
+    out = []
+    for a, b in ((img[:, :-1], img[:, 1:]), (img[:-1], img[1:])):
+        x, y = a.ravel() - a.mean(), b.ravel() - b.mean()
+        d = np.sqrt((x * x).sum() * (y * y).sum())
+        out.append(float((x * y).sum() / d) if d > 0 else 0.0)
+    return sum(out) / 2
+
+
+def search_shapes(spark: SparkSession, path: str, lo: int = 100, hi: int = 2100, most_frames: int = 1_000_000) -> DataFrame:
+    """(pixels, nrow, ncol, score) of every shape that divides the file into whole frames, the smoothest first.
+
+    For files without a sidecar. Shapes are rows of a table, each scored on the first two frames by one task.
+    """
+    total = os.path.getsize(path) // 2
+    sizes = [n for n in range(lo * lo, min(hi * hi, total // 2) + 1) if total % n == 0 and total // n <= most_frames]
+    shapes = [(n, r, n // r) for n in sizes for r in range(lo, hi + 1) if n % r == 0 and lo <= n // r <= hi]
+    if not shapes:
+        raise ValueError("no shape within the limits divides the file")
+
+    def score(batches):
+        for pdf in batches:
+            got = []
+            for n, r, c in pdf[["pixels", "nrow", "ncol"]].itertuples(index=False):
+                raw = np.fromfile(path, "<u2", 2 * n).astype(float)
+                got.append(np.mean([_adjacent(f.reshape(r, c)) for f in raw.reshape(-1, n)]))
+            yield pdf.assign(score=got)
+
+    table = spark.createDataFrame(shapes, "pixels long, nrow long, ncol long")
+    return table.mapInPandas(score, "pixels long, nrow long, ncol long, score double").orderBy(F.col("score").desc(), "pixels", "nrow")
+
+
+def detect_pixels(spark: SparkSession, folder: str, name: str, lo: int = 100, hi: int = 2100) -> int:
+    """Pixels of a frame: what a sidecar says, else those of the smoothest shape."""
+    from glintframe.sources.sidecar import frame_pixels
+
+    if any(n.endswith(".txt") for n in os.listdir(folder)):
+        found = frame_pixels(spark, folder, os.path.splitext(name)[0]).first()
+        if found:
+            return int(found["pixels"])
+    return int(search_shapes(spark, os.path.join(folder, name), lo, hi).first()["pixels"])

@@ -546,3 +546,31 @@ def test_orientation_of_a_round_well(spark):
     assert np.array_equal(array(mosaic, (204, 204)), np.floor(well))
     assert mosaics.affine_residual(m, off, a, 44).first()["residual"] < 0.51
     assert mosaics.recover_axes(scores, 3) == (1, 1, False)
+
+
+def test_shape_without_a_sidecar(spark, tmp_path):
+    rng = np.random.default_rng(19)
+    base = reg.gaussian(rng.uniform(0, 1, (12, 25)), 2) * 60_000
+    movie = np.stack([base + rng.normal(0, 20, base.shape) for _ in range(4)]).clip(0, 65535).astype("<u2")
+    (tmp_path / "frames1.bin").write_bytes(movie.tobytes())
+    best = raw_movie.search_shapes(spark, str(tmp_path / "frames1.bin"), 8, 40).first()
+    assert (best["pixels"], best["nrow"], best["ncol"]) == (300, 12, 25)
+    assert raw_movie.detect_pixels(spark, str(tmp_path), "frames1.bin", 8, 40) == 300
+    (tmp_path / "n.txt").write_text("pixels_per_frame=150")
+    assert raw_movie.detect_pixels(spark, str(tmp_path), "frames1.bin", 8, 40) == 150
+
+
+def test_folders_report_failures(spark, tmp_path):
+    (tmp_path / "fov1").mkdir()
+    (tmp_path / "fov1" / "frames1.bin").write_bytes(b"\1\2")
+    rows = pipelines.process_folders(spark, str(tmp_path)).collect()
+    assert [r["folder"] for r in rows] == ["fov1"] and "ValueError" in rows[0]["error"]
+
+
+def test_mean_coherence(spark):
+    rng = np.random.default_rng(20)
+    y = rng.normal(size=3000)
+    a = spark.createDataFrame([(0, y.tolist())], "cell_id int, y array<double>")
+    pairs = spark.createDataFrame([(0, 0, 0.0)], "i_a long, j_b long, dist double")
+    c = snr.mean_coherence(pairs, a, a, 800, nperseg=256).collect()
+    assert len(c) == 129 and min(r["coherence"] for r in c if r["freq"] > 30) == pytest.approx(1)
