@@ -141,9 +141,9 @@ def read(data: bytes) -> dict:
 
 def text(a: np.ndarray) -> str:
     """A string kept as bytes or as 16-bit characters."""
-    if a.dtype.kind == "S":
-        return a.tobytes().decode("utf-8", "ignore").strip("\0").strip()
-    return "".join(chr(int(c)) for c in a.T.ravel() if int(c)).strip()
+    raw = a.T.tobytes()
+    kept = raw.decode("utf-8", "ignore") if a.dtype.kind == "S" else a.T.astype("<u2").tobytes().decode("utf-16-le", "ignore")
+    return kept.replace("\0", "").strip()
 
 
 def stage_position(tree: dict, device: str = "MAC5000_Stage_Controller") -> tuple[float, float]:

@@ -45,7 +45,8 @@ def lone_times(times: np.ndarray, tolerance: float) -> np.ndarray:
 
 def baseline_frames(p: Params, n: int) -> np.ndarray:
     """0-based frames of all ranges, each range's in turn; frames in two ranges count twice."""
-    return np.concatenate([np.arange(a - 1, b) for a, b in p.clamped(n).std_ranges] or [np.arange(n)])
+    spans = p.clamped(n).std_ranges or ((1, n),)
+    return np.concatenate([np.arange(first, last + 1) for first, last in spans]) - 1
 
 
 def spikes(patch: np.ndarray, mask: np.ndarray, p: Params) -> np.ndarray:

@@ -15,7 +15,7 @@ def stage_affine(px: float, axes: Axes, row_min: float, col_min: float, size: in
     sx, sy, swap = axes
     a, b = sx / px, sy / px
     half = (size - 1) / 2
-    return [[0.0, a, half - col_min] if swap else [a, 0.0, half - col_min], [b, 0.0, half - row_min] if swap else [0.0, b, half - row_min], [0.0, 0.0, 1.0]]
+    return [[0.0, a, half - col_min] if swap else [a, 0.0, half - col_min], [b, 0.0, half - row_min] if swap else [0.0, b, half - row_min], [0, 0, 1]]
 
 
 def build_mosaic(tiles: DataFrame, meta: DataFrame, px: float, size: int, axes: Axes, integer: bool = True) -> tuple[DataFrame, DataFrame, list[list[float]]]:

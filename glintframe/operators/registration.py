@@ -120,7 +120,7 @@ def down_weight_nuclei(tiles: DataFrame, nuclei: DataFrame, size: int, radius: f
             return pix
         rad = np.sqrt(nuc["area"].to_numpy(float) / np.pi)
         rad = np.where(np.isfinite(rad), rad, radius)
-        m = reg.nucleus_mask((size, size), nuc[["i", "j"]].to_numpy(float), rad, float(np.median(rad) * 0.4) if len(rad) else 0.0)
+        m = reg.nucleus_mask((size, size), np.column_stack([nuc["i"], nuc["j"]]).astype(float), rad, float(np.median(rad) * 0.4) if len(rad) else 0.0)
         pix["v"] = pix["v"] * (1 - alpha * m[pix["r"].to_numpy(), pix["c"].to_numpy()])
         return pix
 

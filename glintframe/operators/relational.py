@@ -47,7 +47,8 @@ def stage_rc(x: Column, y: Column, px: float, axes: tuple[int, int, bool]) -> tu
     return sy * b / px, sx * a / px
 
 
-AXES = [(sx, sy, swap) for swap in (False, True) for sy in (1, -1) for sx in (1, -1)]
+#: All eight of them; the sign of x changes fastest, the swap last.
+AXES = [((1, -1)[k & 1], (1, -1)[k >> 1 & 1], k >= 4) for k in range(8)]
 
 
 def tile_offsets(meta: DataFrame, px: float, axes: tuple[int, int, bool] = (1, 1, False)) -> DataFrame:

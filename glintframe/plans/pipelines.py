@@ -22,7 +22,7 @@ def process_movie(movie: DataFrame, height: int, width: int, params: Params | No
     n = raw.agg(F.max("t") + 1).first()[0]
     p = p.clamped(n)
     reference = checkpointed(mv.reference_image(mv.first_frames(raw, p.n_ref), width))
-    sharp = checkpointed(images.sharpen(reference.select("r", "c", "v"), height, width, p.disk_radius, p.gauss_sigma, p.lap_alpha, p.sharpen_k))
+    sharp = checkpointed(images.sharpen(reference.select("r", "c", "v"), height, width, k=p.sharpen_k, alpha=p.lap_alpha, sigma=p.gauss_sigma, disk_radius=p.disk_radius))
     means = mv.range_means(raw, p.bkg_ranges)
     opened = None
     for k in range(len(p.bkg_ranges)):
