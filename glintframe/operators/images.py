@@ -119,9 +119,11 @@ def components(pixels: DataFrame, width: int) -> DataFrame:
     components are found by alternating large and small stars, which takes few rounds on long shapes. Rounds are
     cut by reliable checkpoints.
     """
+    from glintframe.sources.shared import checkpointed
+
     w = Window.partitionBy("r").orderBy("c")
     run = F.sum(F.when(F.col("c") - F.lag("c").over(w) == 1, 0).otherwise(1)).over(w)
-    numbered = pixels.select("r", "c", run.alias("k"))
+    numbered = checkpointed(pixels.select("r", "c", run.alias("k")))
     runs = numbered.groupBy("r", "k").agg(F.min("c").alias("a"), F.max("c").alias("b")).withColumn("id", (F.col("r") * width + F.col("a")).cast("long"))
     up = runs.select((F.col("r") + 1).alias("r"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("v"))
     links = runs.join(up, "r").where("a <= b2 + 1 and a2 <= b + 1").select(F.col("id").alias("u"), "v")

@@ -54,8 +54,9 @@ def end_zero(df: DataFrame, half: int, value: str = V) -> DataFrame:
     return df.withColumn(value, F.when((F.col(T) >= half) & (F.col(T) < n - half), F.col(value)).otherwise(F.lit(0.0)))
 
 
-def plateaus(df: DataFrame, value: str = V) -> DataFrame:
-    """Runs of equal samples: key, first t, last t, v, and the values of the runs before and after."""
+def plateaus(df: DataFrame, value: str = V, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of equal samples: key, first t, last t, v, the values of the runs before and after, and other columns of
+    the first sample."""
     w = _w()
     before = F.lag(value).over(w)
     marked = df.withColumn("_first", before.isNull() | (before != F.col(value))).withColumn("_last", F.max(T).over(Window.partitionBy(K)))
@@ -67,6 +68,7 @@ def plateaus(df: DataFrame, value: str = V) -> DataFrame:
         F.col(value).alias(V),
         F.lag(value).over(w).alias("v_before"),
         F.lead(value).over(w).alias("v_after"),
+        *keep,
     )
 
 
@@ -138,9 +140,9 @@ def detect_spikes(
     near = F.array(*[F.struct(F.coalesce(F.lag(V, -k).over(_w()), F.lit(float("-inf"))).alias("v"), F.lit(-k).alias("d")) for k in range(-3, 3)])
     # The first largest is the largest value, then the smallest step.
     cut = cut.withColumn("_to", F.col(T) - F.array_max(near)["d"])
-    peaks = find_peaks(cut).select(F.col(K).alias("_k"), F.col(T).alias("_t"), F.col(V).alias("amplitude"))
-    placed = cut.join(peaks, (F.col(K) == F.col("_k")) & (F.col(T) == F.col("_t"))).where((F.col(T) > 2) & (F.col(T) < F.col("_n") - 4))
-    return dedup_close(placed.select(K, F.col("_to").alias(T), "amplitude"), min_interval)
+    # A peak's row has its place already, so that the whole chain is windows on one exchange.
+    peaks = plateaus(cut, keep=("_to", "_n")).where("v_before < v and v_after < v and t0 > 2 and t0 < _n - 4")
+    return dedup_close(peaks.select(K, F.col("_to").alias(T), F.col(V).alias("amplitude")), min_interval)
 
 
 def find_peaks_distance(df: DataFrame, height: float, distance: int) -> DataFrame:

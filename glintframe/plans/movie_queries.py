@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glintframe.operators import blocks, movie as mv, images as im
 from glintframe.plans.catalog import register
+from glintframe.sources.shared import checkpointed
 
 H, W = 7, 50
 RANGES = ((1, 12), (30, 40), (60, 80))
@@ -23,9 +24,8 @@ def grid_movie(spark: SparkSession, sf: str) -> DataFrame:
     cell = li.groupBy(
         ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("t"), (F.col("l_linenumber") - 1).alias("r"), (F.col("l_quantity").cast("int") - 1).alias("c")
     ).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / 100.0).alias("v"))
-    # The grid's axes are the distinct values of a few hundred thousand aggregated cells.
-    axes = [cell.select(a).distinct() for a in "trc"]
-    grid = axes[0].crossJoin(axes[1]).crossJoin(axes[2])
+    # The grid's axes come from one pass over the aggregated cells.
+    grid = cell.agg(*[F.collect_set(a).alias(f"{a}s") for a in "trc"]).select(F.explode("ts").alias("t"), "rs", "cs").select("t", F.explode("rs").alias("r"), "cs").select("t", "r", F.explode("cs").alias("c"))
     return grid.join(cell, ["t", "r", "c"], "left").select("t", "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
@@ -215,7 +215,7 @@ def binarise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bright(spark: SparkSession, sf: str) -> DataFrame:
-    i = mean(spark, sf)
+    i = checkpointed(mean(spark, sf))
     cut = i.agg(F.percentile("v", 0.6).alias("_q"))
     return i.crossJoin(F.broadcast(cut)).where("v > _q").select("r", "c")
 
