@@ -19,6 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: dict[str, list[str]] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: computed once, and lost executors cost nothing.
 
@@ -26,4 +29,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_tables(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote by ``checkpointed``, once no DataFrame that reads them is needed;
+    returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)

@@ -574,3 +574,15 @@ def test_mean_coherence(spark):
     pairs = spark.createDataFrame([(0, 0, 0.0)], "i_a long, j_b long, dist double")
     c = snr.mean_coherence(pairs, a, a, 800, nperseg=256).collect()
     assert len(c) == 129 and min(r["coherence"] for r in c if r["freq"] > 30) == pytest.approx(1)
+
+
+def test_cut_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from glintframe.sources import shared
+
+    df = shared.checkpointed(spark.range(5))
+    assert df.count() == 5 and df.dtypes == spark.range(5).dtypes
+    folder = Path(shared.shared_folder(spark).removeprefix("file:"))
+    assert len(list(folder.glob("table-*"))) > 0
+    assert shared.forget_tables(spark) > 0 and not list(folder.glob("table-*"))
