@@ -584,5 +584,6 @@ def test_cut_tables_can_be_deleted(spark):
     df = shared.checkpointed(spark.range(5))
     assert df.count() == 5 and df.dtypes == spark.range(5).dtypes
     folder = Path(shared.shared_folder(spark).removeprefix("file:"))
-    assert len(list(folder.glob("table-*"))) > 0
-    assert shared.forget_tables(spark) > 0 and not list(folder.glob("table-*"))
+    mine = [Path(p.removeprefix("file:")) for p in shared._written[spark.sparkContext.applicationId]]
+    assert all(p.parent == folder and p.exists() for p in mine)
+    assert shared.forget_tables(spark) == len(mine) and not any(p.exists() for p in mine)
