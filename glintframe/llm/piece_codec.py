@@ -21,6 +21,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,7 +37,7 @@ from glintframe.llm.common import named, slices, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words whose encoding a worker keeps between batches; more are encoded again.
 CACHED_WORDS = 1 << 18
 #: Pairs of pieces whose compatibility it keeps.
@@ -55,6 +56,7 @@ class PieceModel:
         self.ids = {p: i for i, (p, ok) in enumerate(zip(self.pieces, plain, strict=True)) if ok}
         if any(BLANK in p.strip(BLANK) or (BLANK in p and not p.startswith(BLANK)) or BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece crosses a blank: words can't be encoded alone")
+        self.code = "H" if n <= 1 << 16 else "I"
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         scores = np.array([sp.get_score(i) for i in range(n)])
         #: The order of merges: smaller is earlier. Equal scores are one merge, the leftmost first.
@@ -123,20 +125,29 @@ class PieceModel:
             else:  # a join across the border lies further left, so it wins a tie against this merge
                 limit, right = rank[right] + 1, b[0]
 
-    def encode_parts(self, word: str, known: dict[str, list[int]]) -> list[int]:
-        """Pieces of a word, cut where no piece holds both characters: no merge goes across, and the parts recur."""
+    def packed(self, word: str, known: dict[str, bytes]) -> bytes:
+        """Ids of a blank and a word, as bytes of the model's integers.
+
+        The word is cut where no piece holds both characters: no merge goes across, and the parts recur. known keeps
+        words as they are and later parts after a blank, which is in no word.
+        """
         joins = self.joins
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
-        out: list[int] = []
-        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            part = word[a:b]
-            e = known.get(part)
-            if e is None:
-                e = self.encode_word(part)
-                if len(known) < CACHED_WORDS:
-                    known[part] = e
-            out += e
-        if cuts and len(known) < CACHED_WORDS:
+        if not cuts:
+            out = array(self.code, self.encode_word(BLANK + word)).tobytes()
+        else:
+            parts = []
+            for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+                part = word[a:b]
+                key = " " + part if a else part
+                e = known.get(key)
+                if e is None:
+                    e = array(self.code, self.encode_word(part if a else BLANK + part)).tobytes()
+                    if len(known) < CACHED_WORDS:
+                        known[key] = e
+                parts.append(e)
+            out = b"".join(parts)
+        if len(known) < CACHED_WORDS:
             known[word] = out
         return out
 
@@ -207,10 +218,10 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-_kept: dict[str, dict[str, list[int]]] = {}
+_kept: dict[str, dict[str, bytes]] = {}
 
 
-def _encode_batch(m: PieceModel, texts: pa.Array, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _encode_batch(m: PieceModel, texts: pa.Array, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of all texts."""
     n = len(texts)
     plain = texts.fill_null("") if texts.null_count else texts
@@ -230,15 +241,15 @@ def _encode_batch(m: PieceModel, texts: pa.Array, known: dict[str, list[int]]) -
     word_off = word_off - word_off[0]
     coded = words.flatten().dictionary_encode()
     codes = coded.indices.to_numpy()
-    table: list[list[int]] = []
+    table: list[bytes] = []
     for w in coded.dictionary.to_pylist():
-        w = BLANK + w
         e = known.get(w)
         if e is None:
-            e = m.encode_parts(w, known) if w.rfind(BLANK) == 0 else []  # words with the mark itself are in odd texts
+            e = m.packed(w, known) if BLANK not in w else b""  # words with the mark itself are in odd texts
         table.append(e)
-    size = np.fromiter(map(len, table), np.int64, len(table))
-    flat = np.fromiter((i for e in table for i in e), np.int32, int(size.sum()))
+    kind = np.dtype(m.code)
+    size = np.fromiter(map(len, table), np.int64, len(table)) // kind.itemsize
+    flat = np.frombuffer(b"".join(table), kind).astype(np.int32)
     first = np.cumsum(size) - size
     count = size[codes]
     total = np.concatenate([[0], np.cumsum(count)])
