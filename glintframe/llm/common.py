@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,27 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glintframe.sources.shared import checkpointed
+
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glintframe-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives executors and runs the plan once."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write to the shared folder and read again: cuts lineage, survives executors and runs the plan once.
+staged = checkpointed
 
 
 def small_enough(df: DataFrame, rows: int, limit: int) -> DataFrame:
