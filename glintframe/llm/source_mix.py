@@ -35,6 +35,8 @@ SEED = 20240229
 BUCKET_UNITS = 32_768
 FAN_IN = 16
 BROADCAST_ROWS = 2_000_000
+#: Tasks of one level; each takes several buckets beyond it.
+MOST_TASKS = 100_000
 
 
 def rates(docs: DataFrame, text: str = "text", source: str = "source", alpha: float = ALPHA, weights: DataFrame | None = None) -> DataFrame:
@@ -133,7 +135,7 @@ def mix(
     open_units = listed.where("p > 0")
     n = open_units.count()
     buckets = max(1, -(-n // bucket_units))
-    parts = max(1, min(buckets, 4096))
+    parts = max(1, min(buckets, MOST_TASKS))
     rows = open_units.select(
         F.pmod(F.col("key"), F.lit(buckets)).alias("node"), F.col("source").cast("string").alias("source"), "unit", "key", "p"
     ).repartition(parts, "node")
@@ -143,7 +145,7 @@ def mix(
     while nodes > 1:
         nodes = -(-nodes // fan_in)
         up = level.where("extra is null").select(F.floor(F.col("node") / fan_in).cast("long").alias("node"), "source", "unit", "key", "p")
-        level = staged(_round_groups(up.repartition(max(1, min(nodes, 4096)), "node"), seed ^ nodes))
+        level = staged(_round_groups(up.repartition(max(1, min(nodes, MOST_TASKS)), "node"), seed ^ nodes))
         decided.append(level.where("extra is not null"))
     last = level.where("extra is null").withColumn(
         "extra", (F.pmod(F.xxhash64(F.col("key"), F.lit(seed), F.lit("last")), F.lit(1 << 40)) < F.col("p") * float(1 << 40)).cast("tinyint")
