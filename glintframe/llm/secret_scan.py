@@ -4,8 +4,10 @@ A tokenizer's vocabulary packs language into few tokens; random strings need man
 16 characters of [A-Za-z0-9+/_-], with up to two "=" after them, that hold both letters and digits, and access-key
 ids of 20 capitals and digits with a known prefix, which may lack digits. What is known to be no secret is
 excluded: UUIDs, and hexadecimal strings of a digest's length unless they are the value of something called a
-token, secret, key, password or credential; runs within e-mail addresses and URLs are identifiers as well. Of the
-others those are reported that have fewer than 2.2 characters a token under the byte-level vocabulary.
+token, secret, key, password or credential ("token=", "--token ", "token is ", "Bearer ") or stand in a URL's
+user-info; runs within plain e-mail addresses and the host and path of URLs are identifiers as well, but not a URL's
+user-info, query and fragment, nor a named value in its path. Of the others those are reported that have fewer than
+2.2 characters a token under the byte-level vocabulary.
 
 One row for each string found: doc_id, its first character and the one after it (0-based), its tokens and
 characters a token. The string itself is not repeated. Null and empty texts have none; whole texts are scanned,
@@ -39,8 +41,14 @@ _UUID = re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4
 _HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 _DIGEST = {32, 40, 56, 64, 96, 128}
 _NAMED = re.compile(rb"""(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|credential|auth)[A-Za-z0-9_-]{0,16}["']?\s{0,4}(?:[=:]|=>|:=)\s{0,4}["'`]?$""", re.I)
-_URL = re.compile(rb"[a-z][a-z0-9+.-]{1,9}://[^\s\"'<>]*$", re.I)
-_BEFORE = 256
+#: A name and its value with blanks between. "key" and "auth" end other words ("turkey") or begin them ("author").
+_SPOKEN = re.compile(rb"""(?:(?:token|secret|passw(?:or)?d|pwd|credential|(?<![a-z])(?:api|access|private|secret|auth|signing|encryption)?key|(?<![a-z])auth)s?(?:[_-][A-Za-z0-9_-]{0,16})?["'`]?\s{1,4}(?:(?:is|was|are|equals)(?:\s{0,4}[=:]\s{0,4}|\s{1,4}))?|(?<![a-z])bearer["'`]?[\s:=]{1,4})["'`(]?$""", re.I)
+_URL = re.compile(rb"[a-z][a-z0-9+.-]{1,9}://([^\s\"'<>]*)$", re.I)
+_USER_INFO = re.compile(rb"[^\s\"'<>/?#@]*@")
+_LOCAL = rb"(?:^|[\s<>()\[\],;\"'`|\x80-\xff]|mail(?:to)?[:=])[A-Za-z0-9._%+-]"
+_MAILBOX, _AT = re.compile(_LOCAL + rb"{0,64}$", re.I), re.compile(_LOCAL + rb"{1,64}@$", re.I)
+_DOMAIN = re.compile(rb"@[A-Za-z0-9\x80-\xff-]+\.[A-Za-z0-9\x80-\xff]")
+_AROUND = 256
 
 
 @cache
@@ -61,13 +69,25 @@ _DIGITS = _table(b"0123456789")
 _LETTERS = _table(bytes(c for c in range(128) if chr(c).isalpha()))
 
 
+def _in_mail(value: bytes, before: bytes, after: bytes) -> bool:
+    """Whether it is in the mailbox, or is a label of the domain, of a plain e-mail address."""
+    if _DOMAIN.match(after) and not set(value) & set(b"/="):
+        return bool(_MAILBOX.search(before))
+    return bool(re.match(rb"\.[A-Za-z0-9]", after) and not set(value) & set(b"/+_=") and _AT.search(before))
+
+
 def excluded(value: bytes, before: bytes, after: bytes) -> bool:
     """Whether a candidate is a known digest or identifier by itself or by what stands around it."""
-    if _UUID.fullmatch(value) or after[:1] == b"@" or before[-1:] == b"@":
+    if _UUID.fullmatch(value) or _in_mail(value, before, after):
         return True
-    if len(value) in _DIGEST and _HEX.fullmatch(value) and not _NAMED.search(before):
+    url = _URL.search(before)
+    host_or_path = url is not None and not set(url[1]) & set(b"?#")
+    if host_or_path and b"/" not in url[1] and _USER_INFO.match(after):
+        return False
+    named_value = _NAMED.search(before)
+    if len(value) in _DIGEST and _HEX.fullmatch(value) and not named_value and not _SPOKEN.search(before):
         return True
-    return bool(_URL.search(before))
+    return host_or_path and not named_value
 
 
 def _scan(column: pa.Array, enc: tiktoken.Encoding, min_chars: int, max_ratio: float):
@@ -93,7 +113,7 @@ def _scan(column: pa.Array, enc: tiktoken.Encoding, min_chars: int, max_ratio: f
         while b < stop and raw[b : b + 1] == b"=" and b - a < (1 << 30) and raw[a:b].count(b"=") < 2:
             b += 1
         value = raw[a:b]
-        if excluded(value, raw[max(int(off[t]), a - _BEFORE) : a], raw[b : min(stop, b + 1)]):
+        if excluded(value, raw[max(int(off[t]), a - _AROUND) : a], raw[b : min(stop, b + _AROUND)]):
             continue
         n = len(enc.encode_ordinary(value.decode()))
         if len(value) < max_ratio * n:

@@ -447,6 +447,21 @@ def test_secrets(spark, docs, rows):
     assert secret_scan.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_in_urls_and_spoken_context(spark):
+    rng = random.Random(7)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    digest = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    secret = ["postgres://app:{}@db", "https://x:{}@github.com/a", "https://{}:x@host.example/a", "https://api/v1?access_token={}", "https://host.example/a;token={}", "https://host.example/cb#access_token={}", "app:{}@db.host.example"]
+    named = ["Authorization: Bearer {}", "--token {}", "token is {}", "the password was: {}", "postgres://app:{}@db", "https://api/v1?access_token={}", "api_key {}", "secret '{}'"]
+    known = ["https://host.example/a/{}", "https://host.example/{}.html", "{}@mail.example", "<mailto:a.{}@mail.example>", "me@{}.example"]
+    plain = ["commit {}", "author {}", "turkey {}", "https://host.example/v1?id={}"]
+    cases = [(t, key, True) for t in secret] + [(t, digest, True) for t in named] + [(t, key, False) for t in known] + [(t, digest, False) for t in known + plain]
+    found = {r["doc_id"]: (r["start_char"], r["end_char"]) for r in secret_scan.scan(table(spark, [t.format(v) for t, v, _ in cases])).collect()}
+    for i, (t, v, hit) in enumerate(cases):
+        assert (i in found) == hit, t
+        assert not hit or t.format(v)[slice(*found[i])].removeprefix("//") == v
+
+
 def test_hash_is_of_words():
     """The word hash tells words apart wherever they stand."""
     from glintframe.llm.common import utf8, words
