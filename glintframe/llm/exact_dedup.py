@@ -6,7 +6,8 @@ second pass computes a SHA-256 of the whole text only for the groups left.
 
 Null text: unknown content, never a copy of anything. Empty texts are copies of each other. Null ids: such rows
 sort last, so they are kept only if all rows of their group have none. Repeated rows count as copies of each
-other, and one row is kept. Columns other than the two named are ignored by ``exact_duplicates`` and passed
+other, and one row is kept. Rows that share an id but not the text are told apart: only the copies among them go.
+Columns other than the two named are ignored by ``exact_duplicates`` and passed
 through by ``drop_exact_duplicates``, whatever their names. An empty table gives an empty result.
 """
 
@@ -60,15 +61,21 @@ def drop_exact_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
     """The input without the rows of ``exact_duplicates``; columns and their order stay."""
-    dropped = staged(exact_duplicates(docs, doc_id, text, prefix_chars, broadcast_keys))
-    # An id is dropped as such if it is not its group's kept one. Rows that share an id with the kept row of their
-    # text, or have none, can't be told apart by id: they are reduced by the text itself.
-    by_id = dropped.where("doc_id is not null and doc_id <> duplicate_of").select("doc_id").distinct()
-    unclear = dropped.where("doc_id is null or doc_id = duplicate_of").select("duplicate_of").distinct()
+    dropped = staged(_ranked(docs, doc_id, text, prefix_chars, broadcast_keys).where("_place > 1"))
+    # A row is dropped by its id and text if the id is not its group's kept one. Rows that share an id with the kept
+    # row of their text, or have none, can't be told apart by these: they are reduced by the text itself.
+    by_id = dropped.where("_id is not null and _id <> _keep").select("_id", "_len", "_prefix", "_full").distinct()
+    unclear = dropped.where("_id is null or _id = _keep").select(F.col("_keep").alias("duplicate_of")).distinct()
     n, m = by_id.count(), unclear.count()
-    drop, again, place = fresh(docs, "_drop", "_again", "_place")
-    gone = small_enough(by_id.select(F.col("doc_id").alias(drop)), n, broadcast_keys)
-    rest = docs.join(gone, named(doc_id) == F.col(drop), "left_anti")
+    drop, size, prefix, full, again, place = fresh(docs, "_drop", "_size", "_prefix", "_full", "_again", "_place")
+    gone = small_enough(by_id.toDF(drop, size, prefix, full), 3 * n, broadcast_keys)  # rows of three keys' size
+    same_text = (
+        (F.octet_length(named(text)).cast("long") == F.col(size))
+        & (F.xxhash64(F.substring(named(text), 1, prefix_chars)) == F.col(prefix))
+        # A range, since an equality would become a join key, and every text would be hashed.
+        & F.unhex(F.sha2(named(text), 256)).between(F.col(full), F.col(full))
+    )
+    rest = docs.join(gone, (named(doc_id) == F.col(drop)) & same_text, "left_anti")
     if not m:
         return rest
     shared = small_enough(unclear.where("duplicate_of is not null").select(F.col("duplicate_of").alias(again)), m, broadcast_keys)

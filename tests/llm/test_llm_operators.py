@@ -123,6 +123,19 @@ def test_exact_brute(spark, docs, rows):
     assert sorted(r[0] for r in exact_dedup.drop_exact_duplicates(docs).select("doc_id").collect()) == sorted(first.values())
 
 
+def test_exact_drops_by_id_and_text(spark):
+    """A text that occurs once stays, though its id is that of a copy elsewhere."""
+    t = table(spark, ["A", "A", "B", "B", "C", "C", None], ids=[1, 2, 2, 3, 3, 1, 2])
+    for limit in (0, 100):
+        left = exact_dedup.drop_exact_duplicates(t.limit(3), broadcast_keys=limit)
+        assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, "A"), (2, "B")]
+        left = exact_dedup.drop_exact_duplicates(t.union(t.where("text is not null")), broadcast_keys=limit)
+        assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == [(1, "A"), (1, "C"), (2, "B"), (2, None)]
+    plan = left._sc._jvm.PythonSQLUtils.explainString(left._jdf.queryExecution(), "simple")
+    keys = [x.partition("], [")[0] for x in plan.splitlines() if "LeftAnti" in x]
+    assert keys and not any("sha2" in k for k in keys)  # only texts that may go are hashed
+
+
 # 3 repeated passages
 
 
