@@ -47,7 +47,7 @@ def notch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Even and odd vectors are two runs of cells; the first two dimensions are their centres."""
-    c = _cells(spark, sf).where("cell_id < 400").withColumns({"row": F.get("y", F.lit(0)) * 100, "col": F.get("y", F.lit(1)) * 100})
+    c = _cells(spark, sf).withColumns({"row": F.get("y", F.lit(0)) * 100, "col": F.get("y", F.lit(1)) * 100})
     return c.where("cell_id % 2 = 0"), c.where("cell_id % 2 = 1")
 
 

@@ -145,6 +145,17 @@ def test_assignment_is_optimal():
         assert len(i) == min(n, m) and c[i, j].sum() == best and len(set(j.tolist())) == len(j)
 
 
+def test_runs_hold_every_cell(spark, sf):
+    e = sorted((r["vec_id"], *(100 * float(v) for v in r["embedding"][:2])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
+    x, y = (np.array([r for r in e if r[0] % 2 == k]) for k in (0, 1))
+    assert len(x) + len(y) == len(e) > 400
+    d = np.hypot(x[:, None, 1] - y[None, :, 1], x[:, None, 2] - y[None, :, 2])
+    i, j = arrays.assign(d)
+    want = {(int(x[a, 0]), int(y[b, 0])) for a, b in zip(i, j, strict=True) if d[a, b] <= 6}
+    assert {(r["i_a"], r["j_b"]) for r in catalog.queries()["cell_match"](spark, sf).collect()} == want
+    assert {(r["i_a"], r["j_b"]) for r in catalog.queries()["run_comparison"](spark, sf).collect()} == want
+
+
 def test_signed_rank():
     from itertools import product
 
