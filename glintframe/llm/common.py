@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared tables, sized broadcasts and UTF-8 buffers of Arrow columns."""
+"""Helpers shared by the operators: shared tables, measured broadcasts, bitmaps and UTF-8 buffers of Arrow columns."""
 
 from __future__ import annotations
 
@@ -21,9 +21,51 @@ _MASK = (1 << 64) - 1
 staged = checkpointed
 
 
-def small_enough(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast only if the counted rows are within the limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Bits of the largest filter that ``sieved`` broadcasts: 128 MB.
+MOST_BITS = 1 << 30
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: the texts' own, 8 for each other value and 16 for each row. df should be a written table."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(named(name)), F.lit(0)).cast("long") + 8
+        if kind.startswith("array"):
+            return F.greatest(F.size(named(name)), F.lit(0)).cast("long") * 8 + 16
+        return F.lit(8).cast("long")
+
+    row = F.lit(16).cast("long")
+    for name, kind in df.dtypes:
+        row = row + width(name, kind)
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the measured bytes are within the limit; beyond it Spark shuffles."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def sieved(df: DataFrame, keys: DataFrame, on: list[str], most_bits: int = MOST_BITS, passing: bool = True) -> DataFrame:
+    """The rows of df whose values of the columns may be among the keys' (a written table), or else all the others.
+
+    A bitmap of one hash of the keys, 16 bits for each up to most_bits together, is broadcast, so that df isn't
+    shuffled at any number of keys. Rows that are among the keys always pass.
+    """
+    n = keys.count()
+    bits = min(most_bits, 1 << max(15, (16 * n).bit_length()))
+    slot, cell, bitmap = fresh(df, "_slot", "_cell", "_bitmap")
+    place = F.xxhash64(*[named(c) for c in on]).bitwiseAND(F.lit(bits - 1))
+    low = F.lit((1 << 15) - 1)
+    marks = keys.select(F.shiftright(place, 15).cast("int").alias(cell), place.bitwiseAND(low).alias("at"))
+    marks = marks.groupBy(cell).agg(F.bitmap_construct_agg("at").alias(bitmap))
+    at = F.col(slot).bitwiseAND(low)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn(slot, place).join(F.broadcast(marks), F.shiftright(F.col(slot), 15).cast("int") == F.col(cell), "inner" if passing else "left")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return joined.where(hit if passing else ~F.coalesce(hit, F.lit(False))).select(*[named(c) for c in df.columns])
 
 
 def tidy(f: Callable) -> Callable:

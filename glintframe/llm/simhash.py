@@ -5,20 +5,26 @@ MD5; a bit is set if more than half of the words set it. Two documents are near
 differ in at most RADIUS bits.
 
 Search: the 128 bits are divided into bands. If two fingerprints differ in at most RADIUS bits, they differ in at
-most radius = RADIUS // BANDS bits of some band, so each band is searched alone, in the metric of its bits. A
-band's vantage-point tree measures, at each level, the Hamming distance to the level's vantage point over a block
-of bits of its own; points within the median distance go inside, the others outside. As the blocks are disjoint,
-the triangle bounds of the levels add up, and a branch is pruned once a query's bounds exceed the radius. The top
-levels of a tree divide a band among shards: each fingerprint is stored in one shard, and is a query in every
-shard whose region it can reach within the radius. Below, each shard builds its own tree. Leaves compare the full
-fingerprints, so the pairs are exact; a pair that several bands find is reported by the first.
+most radius = RADIUS // BANDS bits of some band, so each band is searched alone, in the Hamming metric of its bits.
+(Over all 128 bits distances to any point concentrate so much that a tree with a radius of 20 prunes nothing.)
+
+A band has a vantage-point tree over its distinct values. A node's vantage point v is that of a few of its points
+from which distances differ most; its points within the median distance of v go inside, the others outside, and each
+side keeps its least and its largest distance. By the triangle inequality a query q comes nowhere within the radius
+of a side unless d(q, v) lies within the radius of that range, and the branch is pruned. The top levels are planted
+from the counts of all values and divide the band among shards: each fingerprint is stored in one shard, and is a
+query in every shard whose boundary it overlaps, that is that the bounds don't rule out. Below, each shard plants
+the rest of the tree and follows all its queries through it at once. Values that a leaf finds within the radius stand
+for their fingerprints, which are compared in all bits, so the pairs are exact; of the bands that find a pair the
+first reports it.
 
 Equal fingerprints are one point, under the smallest id. The result has the pair (smallest id, other id, 0) for
 each of the others and one pair of smallest ids for every two near points: the star stands for all pairs between
 the copies. Documents without a word, null and empty texts have no fingerprint and are near nothing. Null ids take
 no part in pairs and are kept by ``drop_near_duplicates``. Rows with equal ids count once in pairs; of rows that
 share an id, all stay or go. Other columns are ignored (``near_pairs``) or passed through. An empty table gives an
-empty result.
+empty result. Very long texts are hashed as a whole; ties (equal distances, equal fingerprints) change nothing but
+which id stands for them, the smallest.
 """
 
 from __future__ import annotations
@@ -36,12 +42,16 @@ from glintframe.llm.common import fresh, named, slices, small_enough, staged, ti
 
 RADIUS = 20
 BANDS = 7
-#: Fingerprints of a band that one shard stores.
+#: Fingerprints of a band that one shard stores, and the least levels of a tree that divide it among shards.
 SHARD_POINTS = 262_144
-LEAF = 24
+LEAST_DEPTH = 2
+LEAF, LEAF_QUERIES = 64, 4096
+#: Pairs that are compared at once, and points that are looked at to choose a vantage point, of which so many are tried.
+BLOCK_PAIRS = 1 << 20
+LOOK, TRY = 256, 4
+MOST_TASKS = 100_000
 WORD = r"[^\p{L}\p{N}]+"
 SLICE_BYTES = 4 << 20
-BROADCAST_IDS = 2_000_000
 
 
 def _word_bits(words: list[bytes]) -> np.ndarray:
@@ -122,103 +132,214 @@ def band_values(hi: np.ndarray, lo: np.ndarray, bands: int) -> list[np.ndarray]:
     return out
 
 
-def route(value: np.ndarray, width: int, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top of a band's tree, one bit a level, vantage point zero: points, the shards they reach, their bounds there.
-
-    The bound is 0 in exactly the shard that stores the point.
-    """
-    point, shard, bound = np.arange(len(value)), np.zeros(len(value), np.int64), np.zeros(len(value), np.int8)
-    for level in range(depth):
-        d = ((value[point] >> np.uint32(width - 1 - level)) & np.uint32(1)).astype(np.int64)
-        far = bound < radius
-        point = np.concatenate([point, point[far]])
-        shard = np.concatenate([shard * 2 + d, shard[far] * 2 + 1 - d[far]])
-        bound = np.concatenate([bound, bound[far] + 1])
-    return point, shard, bound
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int16)
 
 
-def search(hi: np.ndarray, lo: np.ndarray, stored: np.ndarray, bound: np.ndarray, band: int, depth: int, bands: int, radius_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (stored point, query point, distance) of one shard, each found first in this band.
+def vantage(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[int, int, np.ndarray]:
+    """The vantage point of distinct values, their median distance to it, counted, and all distances.
 
-    All points are queries with the bounds that the top of the tree left them; the stored ones form the tree.
+    The median is below the largest distance, so that both sides have points, if there are two values.
+    """
+    n = len(values)
+    look = values[:: max(1, n // LOOK)]
+    tried = values[:: max(1, n // TRY)][:TRY]
+    v = tried[int(np.argmax(_distance(tried[:, None], look).std(1)))]
+    d = _distance(values, v)
+    reach = np.cumsum(np.bincount(d, counts))
+    least, most = int(d.min()), int(d.max())
+    inner = np.arange(least, max(most, least + 1))
+    return int(v), int(inner[np.argmin(np.abs(2 * reach[inner] - reach[-1]))]), d
+
+
+#: Of a node: vantage point, median distance, least and largest distance inside and outside. No distance is within NONE.
+NODE = ("vantage", "median", "in_least", "in_most", "out_least", "out_most")
+_NONE = (1000, -1000)
+
+
+def _ranges(d: np.ndarray, median: int) -> tuple[int, int, int, int]:
+    near, far = d[d <= median], d[d > median]
+    return (*((int(near.min()), int(near.max())) if len(near) else _NONE), *((int(far.min()), int(far.max())) if len(far) else _NONE))
+
+
+def plant(values: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+    """The top levels of a band's tree, nodes in the order of a heap from 0 on: (2 ** depth - 1, 6)."""
+    nodes = np.tile(np.array([0, -1, *_NONE, *_NONE], np.int64), ((1 << depth) - 1, 1))
+    parts = {0: np.arange(len(values))}
+    for node in range(len(nodes)):
+        at = parts.pop(node, None)
+        if at is None or not len(at):
+            continue
+        v, median, d = vantage(values[at], counts[at])
+        nodes[node] = (v, median, *_ranges(d, median))
+        parts[2 * node + 1], parts[2 * node + 2] = at[d <= median], at[d > median]
+    return nodes
+
+
+def route(value: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, the shards that they may come within the radius of, and whether the shard stores the point."""
+    point, node, home = np.arange(len(value)), np.zeros(len(value), np.int64), np.ones(len(value), bool)
+    for _ in range((len(nodes) + 1).bit_length() - 1):
+        v, median, a, b, c, e = nodes[node].T
+        d = _distance(value[point], v.astype(np.uint32))
+        near, far = (d >= a - radius) & (d <= b + radius), (d >= c - radius) & (d <= e + radius)
+        point, node, home = np.concatenate([point[near], point[far]]), np.concatenate([2 * node[near] + 1, 2 * node[far] + 2]), np.concatenate([(home & (d <= median))[near], (home & (d > median))[far]])
+    return point, node - len(nodes), home
+
+
+def value_pairs(stored: np.ndarray, queries: np.ndarray, radius: int, counts: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in stored, in queries) of the distinct values within the radius, by a vantage-point tree of stored."""
+    stack = [(np.arange(len(stored)), np.arange(len(queries)))]
+    while stack:
+        points, asked = stack.pop()
+        if not len(points) or not len(asked):
+            continue
+        if len(points) <= LEAF:
+            wide = -len(points) % 8 + len(points)  # eight comparisons are looked at in one
+            padded = np.resize(stored[points], wide)
+            for a in range(0, len(asked), LEAF_QUERIES):
+                part = asked[a : a + LEAF_QUERIES]
+                hits = (np.bitwise_count(queries[part, None] ^ padded) <= radius).ravel()
+                some = np.flatnonzero(hits.view(np.uint64))
+                i, j = np.divmod(some[:, None] * 8 + np.arange(8), wide)
+                ok = hits.reshape(-1, 8)[some] & (j < len(points))
+                yield points[j[ok]], part[i[ok]]
+            if counts is not None:
+                counts["leaf"] = counts.get("leaf", 0) + len(points) * len(asked)
+            continue
+        v, median, d = vantage(stored[points])
+        in_least, in_most, out_least, out_most = _ranges(d, median)
+        q = _distance(queries[asked], np.uint32(v))
+        if counts is not None:
+            counts["node"] = counts.get("node", 0) + len(asked)
+        stack.append((points[d <= median], asked[(q >= in_least - radius) & (q <= in_most + radius)]))
+        stack.append((points[d > median], asked[(q >= out_least - radius) & (q <= out_most + radius)]))
+
+
+def _expanded(first: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in the ranges first[k] .. + size[k] and other[k] .. + other_size[k], a block at a time."""
+    side = 1 << (BLOCK_PAIRS.bit_length() // 2)
+    large = size * other_size > BLOCK_PAIRS
+    for k in np.flatnonzero(large).tolist():
+        for a in range(0, int(size[k]), side):
+            for b in range(0, int(other_size[k]), side):
+                i, j = np.arange(a, min(a + side, size[k])), np.arange(b, min(b + side, other_size[k]))
+                yield np.repeat(first[k] + i, len(j)), np.tile(other[k] + j, len(i))
+    first, size, other, other_size = (x[~large] for x in (first, size, other, other_size))
+    n = size * other_size
+    block = np.cumsum(n) // BLOCK_PAIRS
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(n) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        m = n[a:b]
+        k = np.repeat(np.arange(a, b), m)
+        within = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = np.divmod(within, other_size[k])
+        yield first[k] + i, other[k] + j
+
+
+def search(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: int, radius_all: int, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (stored point, query point, distance) of one shard that this band is the first to find.
+
+    All points are queries, those at home are stored. A pair of two values is reported where the smaller is stored,
+    two points of one value in both orders.
     """
-    radius, width = radius_all // bands, band_widths(bands)[band]
+    radius = radius_all // bands
     values = band_values(hi, lo, bands)
-    value = values[band]
+    by = np.argsort(values[band], kind="stable")
+    asked, first_asked, n_asked = np.unique(values[band][by], return_index=True, return_counts=True)
+    own = by[home[by]]
+    stored, first_own, n_own = np.unique(values[band][own], return_index=True, return_counts=True)
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def leaf(points: np.ndarray, queries: np.ndarray) -> None:
-        step = max(1, (1 << 20) // max(1, len(points)))
-        for a in range(0, len(queries), step):
-            q = queries[a : a + step]
-            near = np.bitwise_count(value[q][:, None] ^ value[points]) <= radius
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            i, j = q[i], points[j]
+    for p, q in value_pairs(stored, asked, radius, counts):
+        once = stored[p] <= asked[q]
+        p, q = p[once], q[once]
+        for i, j in _expanded(first_own[p], n_own[p], first_asked[q], n_asked[q]):
+            i, j = own[i], by[j]
             d = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int64) + np.bitwise_count(lo[i] ^ lo[j])
+            if counts is not None:
+                counts["full"] = counts.get("full", 0) + len(i)
             ok = (d <= radius_all) & (d > 0)
+            if not ok.any():
+                continue
+            i, j, d = i[ok], j[ok], d[ok]
+            new = np.ones(len(i), bool)
             for b in range(band):
-                ok &= np.bitwise_count(values[b][i] ^ values[b][j]) > radius
-            if ok.any():
-                pairs.append((j[ok], i[ok], d[ok]))
-
-    stack = [(np.flatnonzero(stored), np.arange(len(hi)), bound.astype(np.int64), depth)]
-    while stack:
-        points, queries, spent, level = stack.pop()
-        if not len(points) or not len(queries):
-            continue
-        if len(points) <= LEAF or level == width:
-            leaf(points, queries)
-            continue
-        bit = np.uint32(1 << (width - 1 - level))  # the level's block
-        vantage = value[points[0]]
-        dp = np.bitwise_count((value[points] ^ vantage) & bit)
-        dq = np.bitwise_count((value[queries] ^ vantage) & bit)
-        # Inside are the points at distance 0 from the vantage point, outside those at 1. By the triangle
-        # inequality a query at distance dq is at least dq from the inside and 1 - dq from the outside.
-        for side, more in ((0, dq), (1, 1 - dq.astype(np.int64))):
-            left = spent + more
-            go = left <= radius
-            stack.append((points[dp == side], queries[go], left[go], level + 1))
+                new &= np.bitwise_count(values[b][i] ^ values[b][j]) > radius
+            pairs.append((i[new], j[new], d[new]))
     if not pairs:
         e = np.zeros(0, np.int64)
         return e, e, e
     return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
 
 
+def band_trees(points: DataFrame, bands: int, depth: int) -> list[np.ndarray]:
+    """The top levels of each band's tree, from the counts of all values of the points.
+
+    A band has at most 2 ** (128 // bands + 1) values, whatever the number of points; only the nodes come to the driver.
+    """
+    widths = band_widths(bands)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 << w, np.int64) for w in widths] if max(widths) <= 20 else None
+        for batch in batches:
+            hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            for b, value in enumerate(band_values(hi, lo, bands)):
+                seen, n = np.unique(value, return_counts=True)
+                if total is not None:
+                    total[b][seen] += n
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), b, np.int32)), pa.array(seen.astype(np.int64)), pa.array(n)], ["band", "value", "n"])
+        for b, t in enumerate(total or []):
+            seen = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), b, np.int32)), pa.array(seen), pa.array(t[seen])], ["band", "value", "n"])
+
+    def top(table: pa.Table) -> pa.Table:
+        table = table.sort_by("value")
+        nodes = plant(table["value"].to_numpy().astype(np.uint32), table["n"].to_numpy(), depth)
+        return pa.table({"band": pa.array(np.full(len(nodes), table["band"][0].as_py(), np.int32)), "node": pa.array(np.arange(len(nodes))), **{c: pa.array(nodes[:, k]) for k, c in enumerate(NODE)}})
+
+    values = points.select("hi", "lo").mapInArrow(tidy(count), "band int, value bigint, n bigint").groupBy("band", "value").agg(F.sum("n").alias("n"))
+    planted = values.groupBy("band").applyInArrow(top, "band int, node bigint, " + ", ".join(f"{c} bigint" for c in NODE)).toArrow()
+    out = [plant(np.zeros(0, np.uint32), np.zeros(0, np.int64), depth) for _ in range(bands)]
+    table = np.stack([planted[c].to_numpy() for c in NODE], 1).astype(np.int64) if planted.num_rows else np.zeros((0, 6), np.int64)
+    band, node = (planted[c].to_numpy() for c in ("band", "node"))
+    for b in range(bands):
+        out[b][node[band == b]] = table[band == b]
+    return out
+
+
 def near_points(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(a, b, hamming) with a < b for every two of the distinct fingerprints (doc_id, hi, lo) within the radius.
 
     n, their number, sets how deep the shards go; the result doesn't depend on it.
     """
     kind = points.schema["doc_id"].dataType.simpleString()
-    widths = band_widths(bands)
-    depth = min(max(0, (max(n, 1) - 1) // shard_points).bit_length(), min(widths))
+    depth = min(max(LEAST_DEPTH, (max(0, n - 1) // shard_points).bit_length()), min(band_widths(bands)))
+    trees = points.sparkSession.sparkContext.broadcast(band_trees(points, bands, depth))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in (1, 2))
             for b, value in enumerate(band_values(hi, lo, bands)):
-                point, shard, bound = route(value, widths[b], depth, radius // bands)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(point)), batch.column(1).take(pa.array(point)), batch.column(2).take(pa.array(point)), pa.array(shard * bands + b, pa.int64()), pa.array(bound, pa.int8())],
-                    ["doc_id", "hi", "lo", "shard", "bound"],
-                )
+                point, shard, home = route(value, trees.value[b], radius // bands)
+                at = pa.array(point)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array((shard * bands + b).astype(np.int32)), pa.array(home)], ["doc_id", "hi", "lo", "shard", "home"])
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         hi, lo = (table.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-        bound = table.column("bound").to_numpy()
+        home = table.column("home").to_numpy()
         band = int(table.column("shard")[0].as_py()) % bands
-        p, q, d = search(hi, lo, bound == 0, bound, band, depth, bands, radius)
+        p, q, d = search(hi, lo, home, band, bands, radius)
         ids = table.column("doc_id")
         a, b = ids.take(pa.array(p)), ids.take(pa.array(q))
-        # Each pair is found from both ends, as every point is a query.
-        return pa.table({"a": a, "b": b, "hamming": pa.array(d, pa.int32())}).filter(pc.less(a, b))
+        values = band_values(hi, lo, bands)[band]
+        one_value = pa.array(values[p] == values[q])  # found in both orders
+        least, most = pc.min_element_wise(a, b), pc.max_element_wise(a, b)
+        return pa.table({"a": least, "b": most, "hamming": pa.array(d, pa.int32())}).filter(pc.or_(pc.invert(one_value), pc.less(a, b)))
 
-    sent = points.select("doc_id", "hi", "lo").mapInArrow(tidy(send), f"doc_id {kind}, hi bigint, lo bigint, shard bigint, bound tinyint")
-    return sent.groupBy("shard").applyInArrow(solve, f"a {kind}, b {kind}, hamming int")
+    sent = points.select("doc_id", "hi", "lo").mapInArrow(tidy(send), f"doc_id {kind}, hi bigint, lo bigint, shard int, home boolean")
+    return sent.repartition(min(bands << depth, MOST_TASKS), "shard").groupBy("shard").applyInArrow(solve, f"a {kind}, b {kind}, hamming int")
 
 
 def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
@@ -269,7 +390,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The input with one document, that of the smallest id, of each connected group of near copies; columns stay."""
     (drop,) = fresh(docs, "_drop")
     found = staged(groups(near_pairs(docs, doc_id, text, radius, bands, shard_points)).select(F.col("doc_id").alias(drop)).distinct())
-    return docs.join(small_enough(found, found.count(), BROADCAST_IDS), named(doc_id) == F.col(drop), "left_anti")
+    return docs.join(small_enough(found), named(doc_id) == F.col(drop), "left_anti")
 
 
 def _sql() -> str:

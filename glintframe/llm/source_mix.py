@@ -13,9 +13,12 @@ on is drawn in proportion to what it lacks. Expectations stay. A bucket of units
 source; those are combined in a reduction tree over the buckets, and a draw settles the last. Draws come from a
 hash of the seed and the units, so a lost task gives the same result when it runs again.
 
-Units are the distinct pairs of id and source: rows that repeat one are copied alike. A null source is a source of
-its own, null ids of a source are one unit. Null and empty texts have no mass; a source without mass is kept once.
-Other columns are ignored (``mix``) or passed through (``apply_mix``). An empty table gives an empty result.
+Units are the distinct pairs of id and source: rows that repeat one, and so texts that share an id, are copied
+alike. Ties (equal fractions) are settled by the draws. A null source is a source of its own, null ids of a source
+are one unit. Null and empty texts have no mass; very long texts count whole. Without weights, a source without mass
+is kept once. With weights, a source that they don't name, or give null, zero or less, has no share of the mix: its
+rate is 0 and its documents have no copy; one with a weight but without mass is kept once. Other columns are ignored
+(``mix``) or passed through (``apply_mix``). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ SEED = 20240229
 #: Units of a bucket, and buckets or residuals that one task of the tree combines.
 BUCKET_UNITS = 32_768
 FAN_IN = 16
-BROADCAST_ROWS = 2_000_000
 #: Tasks of one level; each takes several buckets beyond it.
 MOST_TASKS = 100_000
 
@@ -43,13 +45,15 @@ def rates(docs: DataFrame, text: str = "text", source: str = "source", alpha: fl
     """(source, rate): expected copies of each document. weights (source, weight) replaces mass ** alpha."""
     mass = docs.groupBy(named(source).alias("source")).agg(F.sum(F.coalesce(F.length(named(text)), F.lit(0))).cast("double").alias("mass"))
     if weights is None:
-        raw = mass.withColumn("raw", F.pow("mass", F.lit(alpha - 1.0)))
+        raw = mass.withColumn("raw", F.pow("mass", F.lit(alpha - 1.0))).withColumn("out", F.lit(False))
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w"))
-        raw = mass.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("raw", F.try_divide("_w", "mass"))
-    raw = staged(raw.withColumn("raw", F.when((F.col("mass") > 0) & (F.col("raw") > 0), F.col("raw"))).select("source", "raw"))
+        named_ones = mass.join(w, F.col("source").eqNullSafe(F.col("_s")), "left")
+        raw = named_ones.withColumn("raw", F.try_divide("_w", "mass")).withColumn("out", ~F.coalesce(F.col("_w") > 0, F.lit(False)))
+    raw = staged(raw.withColumn("raw", F.when((F.col("mass") > 0) & ~F.col("out"), F.col("raw"))).select("source", "raw", "out"))
     least = raw.agg(F.min("raw").alias("least"))  # one row
-    return raw.crossJoin(F.broadcast(least)).select("source", F.coalesce(F.round(F.col("raw") / F.col("least"), 12), F.lit(1.0)).alias("rate"))
+    rate = F.when(F.col("out"), F.lit(0.0)).otherwise(F.coalesce(F.round(F.col("raw") / F.col("least"), 12), F.lit(1.0)))
+    return raw.crossJoin(F.broadcast(least)).select("source", rate.alias("rate"))
 
 
 def pivotal(p: np.ndarray, key: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
@@ -127,7 +131,7 @@ def mix(
     """(doc_id, source, copies) for each unit."""
     rate = staged(rates(docs, text, source, alpha, weights).select(F.col("source").alias("_s"), "rate"))
     units = docs.select(named(doc_id).alias("doc_id"), named(source).alias("source")).distinct()
-    joined = units.join(small_enough(rate, rate.count(), BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("_s")))
+    joined = units.join(small_enough(rate), F.col("source").eqNullSafe(F.col("_s")))
     # Two hashes of its id and source stand for a unit, the same whatever the partitions are.
     text_id, text_source = F.col("doc_id").cast("string"), F.col("source").cast("string")
     key, unit = F.xxhash64(text_id, text_source, F.lit(seed)), F.xxhash64(F.lit(seed + 1), text_source, text_id)
@@ -169,6 +173,6 @@ def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     # Most units of large sources have one copy: only the others are joined.
     other = copies.where(F.col(n) != 1)
     same = named(doc_id).eqNullSafe(F.col(d)) & named(source).eqNullSafe(F.col(s))
-    joined = docs.join(small_enough(other, other.count(), BROADCAST_ROWS), same, "left")
+    joined = docs.join(small_enough(other), same, "left")
     times = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col(n), F.lit(1))))
     return joined.select(*[named(c) for c in docs.columns], times.alias(again)).drop(again)

@@ -12,12 +12,18 @@ document, the maximal stretches that such passages cover: (doc_id, start_char, e
 2. Candidates: each window of MIN_WORDS words has a key, the smallest hash of GRAM words in a row in it. Equal
    windows have equal keys, and neighbours mostly share theirs, so few keys represent a document. Only keys that
    occur in two shards or more go on.
-3. Merging: the windows with such keys are sent, as hashes of 128 bits, to partitions by hash, as one sorted run per
-   batch. Runs are merged in pairs by binary search; windows that have an equal neighbour are repeats.
-
-Null and empty texts and texts under MIN_WORDS words have no passages. Rows without an id are left out, for there
-is no one to report. Rows that share an id are separate texts whose stretches are reported together; repeated rows
-repeat each other. Other columns are ignored. An empty table gives an empty result.
+3. Merging: each task goes over the documents with such keys again and hashes the windows by 128 bits. A shard's list
+   of distinct windows, in order, is its sorted run; windows that it holds twice are reported where they are found. The
+   runs are sent to partitions by hash and merged in pairs by binary search: a window's place is its place in its own
+   run plus the number of smaller ones in the other. Windows with an equal neighbour there are in two shards. (Suffix
+   arrays over words of two shards have no common order without the words themselves; of a window only its hash is
+   sent, and so the order is that of the hashes.)
+
+Null and empty texts and texts under MIN_WORDS words have no passages; very long texts are searched whole. Rows
+without an id are left out, for there is no one to report. Rows that share an id are separate texts whose stretches
+are reported together; ties and repeated rows repeat each other. Other columns are ignored, whatever their names. An
+empty table gives an empty result. A document that is no copy of another is reported too if 50 words in a row of it
+stand elsewhere, be it a license, a quoted passage or a stretch of a near copy.
 """
 
 from __future__ import annotations
@@ -30,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import char_index, mix64, named, slices, staged, tidy, utf8, words
+from glintframe.llm.common import BROADCAST_BYTES, char_index, measured_bytes, mix64, named, sieved, slices, staged, tidy, utf8, words
 
 MIN_WORDS = 50
 GRAM = 8
 #: Words of one suffix array.
 SHARD_WORDS = 1 << 19
 SLICE_BYTES = 2 << 20
-#: Windows that one merging task gets on average, and documents with candidates up to which these are broadcast.
+#: Windows that one merging task gets on average, and rows up to which its short runs are put together before merging.
 MERGE_ROWS = 1 << 20
-BROADCAST_KEYS = 4_000_000
+LEAST_RUN = 4096
 _ODD = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -209,28 +215,32 @@ def _distinct_pairs(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.n
     return text[new], key[new]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of runs of documents of about most words."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of documents of about most words."""
     held, size = [], 0
     for batch in batches:
         for b in slices(batch, "_text", SLICE_BYTES):
-            data, off = utf8(b.column(1))
+            data, _ = utf8(b.column(1))
             n = int(np.count_nonzero((data == 32) | (data == 10))) + b.num_rows
             if held and size + n > most:
-                t = pa.Table.from_batches(held).combine_chunks()
-                yield t.column(0).combine_chunks(), t.column(1).combine_chunks()
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, size = [], 0
             held.append(b)
             size += n
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t.column(0).combine_chunks(), t.column(1).combine_chunks()
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _plain(a: pa.Array | pa.ChunkedArray) -> pa.Array:
     return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
 
 
+def _stretches(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first and last of what windows, sorted by owner and first, cover."""
+    begin = np.flatnonzero(_intervals(first, last, owner))
+    return owner[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last
+
+
 def repeated_passages(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -239,7 +249,7 @@ def repeated_passages(
     gram: int = GRAM,
     shard_words: int = SHARD_WORDS,
     merge_rows: int = MERGE_ROWS,
-    broadcast_keys: int = BROADCAST_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(doc_id, start_char, end_char) of every stretch, see above."""
     gram = min(gram, min_words)
@@ -248,14 +258,11 @@ def repeated_passages(
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for k, (ids, texts) in enumerate(_shards(batches, shard_words)):
-            ids, w = _plain(ids), Words(_plain(texts))
-            owner, first, last = shard_repeats(w, min_words)
-            new = _intervals(first, last, owner)
-            begin = np.flatnonzero(new)
-            stop = np.maximum.reduceat(last, begin) if len(begin) else last
+        for k, b in enumerate(_shards(batches, shard_words)):
+            ids, w = b.column(0), Words(b.column(1))
+            owner, first, last = _stretches(*shard_repeats(w, min_words))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(owner[begin])), pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.int64()), pa.array(first[begin]), pa.array(stop)],
+                [ids.take(pa.array(owner)), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.int64()), pa.array(first), pa.array(last)],
                 ["doc_id", "key", "shard", "start_char", "end_char"],
             )
             at = _windows(w, min_words)
@@ -269,39 +276,47 @@ def repeated_passages(
     crossing = keys.groupBy("key").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b")).where("_a <> _b").select("key")
     wanted = staged(keys.join(crossing, "key").groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).withColumnRenamed("doc_id", "_owner"))
     size = wanted.agg(F.sum(F.size("_keys"))).first()[0] or 0
-    side = F.broadcast(wanted) if size <= broadcast_keys else wanted
-    chosen = rows.join(side, F.col("doc_id") == F.col("_owner")).select("doc_id", "_text", "_keys")
+    if measured_bytes(wanted) <= broadcast_bytes:
+        chosen = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("_owner"))
+    else:  # only documents with candidates are shuffled
+        chosen = sieved(rows, wanted.select(F.col("_owner").alias("doc_id")), ["doc_id"]).join(wanted, F.col("doc_id") == F.col("_owner"))
+    chosen = chosen.select("doc_id", "_text", "_keys")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "_text", SLICE_BYTES):
-                w = Words(b.column(1))
-                at = _windows(w, min_words)
-                if not len(at):
-                    continue
-                key = window_keys(w, min_words, gram)[at]
-                lists = b.column(2)
-                n = np.diff(lists.offsets.to_numpy())
-                have_text = np.repeat(np.arange(b.num_rows), n)
-                have = lists.flatten().to_numpy().view(np.uint64)
-                # (text, key) is looked up among the wanted ones by binary search.
-                by = np.lexsort((have, have_text))
-                have, have_text = have[by], have_text[by]
-                mixed, ours = mix64(have + mix64(have_text.astype(np.uint64))), mix64(key + mix64(w.text[at].astype(np.uint64)))
-                mixed = np.sort(mixed)
-                place = np.minimum(np.searchsorted(mixed, ours), max(len(mixed) - 1, 0))
-                at = at[mixed[place] == ours] if len(mixed) else at[:0]
-                h = _grams(w.hash, min_words)[at]
-                g = _grams(mix64(w.hash + _ODD), min_words)[at]
-                by = np.lexsort((g, h))  # the suffixes' sorted run
-                at, h, g = at[by], h[by], g[by]
-                run = np.full(len(at), TaskContext.get().partitionId(), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(w.text[at])), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(run), pa.array(w.start[at].astype(np.int32)), pa.array(w.end[at + min_words - 1].astype(np.int32))],
-                    ["doc_id", "h", "g", "run", "start_char", "end_char"],
-                )
-
-    windows = chosen.mapInArrow(tidy(emit), f"doc_id {kind}, h bigint, g bigint, run int, start_char int, end_char int")
+        task = TaskContext.get().partitionId()
+        for k, b in enumerate(_shards(batches, shard_words)):
+            w = Words(b.column(1))
+            at = _windows(w, min_words)
+            if not len(at):
+                continue
+            key = window_keys(w, min_words, gram)[at]
+            lists = b.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            have_text = np.repeat(np.arange(b.num_rows), n)
+            have = lists.flatten().to_numpy().view(np.uint64)
+            # (text, key) is looked up among the wanted ones by binary search.
+            mixed, ours = mix64(have + mix64(have_text.astype(np.uint64))), mix64(key + mix64(w.text[at].astype(np.uint64)))
+            mixed = np.sort(mixed)
+            place = np.minimum(np.searchsorted(mixed, ours), max(len(mixed) - 1, 0))
+            at = at[mixed[place] == ours] if len(mixed) else at[:0]
+            h = _grams(w.hash, min_words)[at].view(np.int64)
+            g = _grams(mix64(w.hash + _ODD), min_words)[at].view(np.int64)
+            by = np.lexsort((g, h))
+            h, g = h[by], g[by]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, bool)
+            twice = ~(new & np.concatenate([new[1:], [True]])) if len(h) else new
+            # Windows that the shard holds twice are repeats already; one of each goes on for the other shards.
+            i = np.sort(at[by[twice]])
+            owner, first, last = _stretches(w.text[i], w.start[i], w.end[i + min_words - 1])
+            one = at[by[new]]
+            h, g = (np.concatenate([x[new], np.zeros(len(owner), np.int64)]) for x in (h, g))
+            h[len(one) :] = mix64(owner.astype(np.uint64) + np.uint64(task + 1) * _ODD).view(np.int64)  # any partition
+            run = np.concatenate([np.full(len(one), (task << 20) + k, np.int64), np.full(len(owner), -1, np.int64)])
+            ids = b.column(0).take(pa.array(np.concatenate([w.text[one], owner])))
+            first, last = np.concatenate([w.start[one], first]), np.concatenate([w.end[one + min_words - 1], last])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h), pa.array(g), pa.array(run), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "h", "g", "run", "start_char", "end_char"])
+
+    windows = chosen.mapInArrow(tidy(emit), f"doc_id {kind}, h bigint, g bigint, run bigint, start_char int, end_char int")
     # A key is the smallest of min_words - gram + 1 hashes, so it stands for half as many windows on average.
     parts = max(1, -(-size * (min_words - gram + 2) // (2 * merge_rows)))
 
@@ -311,11 +326,12 @@ def repeated_passages(
             return
         t = pa.Table.from_batches(t).combine_chunks()
         h, g, run = (_plain(t.column(c)).to_numpy() for c in ("h", "g", "run"))
+        done = np.flatnonzero(run < 0)
         order = merge_runs(h, g, run)
         h, g = h[order], g[order]
         same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        yield from t.take(pa.array(hit)).select(["doc_id", "start_char", "end_char"]).to_batches()
+        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+        yield from t.take(pa.array(np.concatenate([done, hit]))).select(["doc_id", "start_char", "end_char"]).to_batches()
 
     across = windows.repartition(parts, "h").mapInArrow(tidy(merge), f"doc_id {kind}, start_char int, end_char int")
     within = found.where("key is null").select("doc_id", F.col("start_char").cast("int"), F.col("end_char").cast("int"))
@@ -330,19 +346,35 @@ def repeated_passages(
         first, last = (_plain(t.column(c)).to_numpy().astype(np.int64) for c in (1, 2))
         by = np.lexsort((first, owner))
         owner, first, last = owner[by], first[by], last[by]
-        begin = np.flatnonzero(_intervals(first, last, owner))
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(owner[begin])), pa.array(first[begin]), pa.array(np.maximum.reduceat(last, begin))], ["doc_id", "start_char", "end_char"])
+        owner, first, last = _stretches(owner, first, last)
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(owner)), pa.array(first), pa.array(last)], ["doc_id", "start_char", "end_char"])
 
     spans = across.unionByName(within)
     return spans.repartition(max(parts, 1), "doc_id").mapInArrow(tidy(unite), f"doc_id {kind}, start_char bigint, end_char bigint")
 
 
-def merge_runs(h: np.ndarray, g: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """The order of all rows by (h, g): rows of each run are put in order, then runs are merged in pairs, each
-    element's place being its own place plus the number of smaller ones in the other run, by binary search."""
-    by = np.lexsort((g, h, run))
-    cut = np.flatnonzero(np.concatenate([[True], run[by][1:] != run[by][:-1]])) if len(by) else np.zeros(0, np.int64)
-    runs = np.split(by, cut[1:]) if len(by) else []
+def merge_runs(h: np.ndarray, g: np.ndarray, run: np.ndarray, least_run: int = LEAST_RUN) -> np.ndarray:
+    """The order of the rows with a run from 0 on by (h, g). The rows of a run come in order.
+
+    Runs are merged in pairs, each element's place being its own place plus the number of smaller ones in the other
+    run, by binary search. Short runs are put together first, so that many of them take few steps.
+    """
+    order = np.argsort(run, kind="stable")
+    order = order[np.searchsorted(run[order], 0) :]
+    if not len(order):
+        return order
+    new = np.concatenate([[True], run[order][1:] != run[order][:-1]])
+    cuts = [int(c) for c in np.flatnonzero(new)]
+    runs: list[np.ndarray] = []
+    begin, several = 0, 0
+    for c, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        several += 1
+        if end - begin >= least_run or end == len(order):
+            part = order[begin:end]
+            if several > 1 or np.any(h[part][1:] < h[part][:-1]):  # a shuffle need not keep the order that was sent
+                part = part[np.argsort(h[part], kind="stable")]
+            runs.append(part)
+            begin, several = end, 0
     while len(runs) > 1:
         merged = []
         for a, b in zip(runs[::2], runs[1::2], strict=False):
@@ -354,9 +386,12 @@ def merge_runs(h: np.ndarray, g: np.ndarray, run: np.ndarray) -> np.ndarray:
         if len(runs) % 2:
             merged.append(runs[-1])
         runs = merged
-    order = runs[0] if runs else np.zeros(0, np.int64)
-    if np.any((h[order][1:] == h[order][:-1]) & (g[order][1:] != g[order][:-1])):  # a collision of the first hash
-        order = order[np.lexsort((g[order], h[order]))]
+    order = runs[0]
+    # Where first hashes collide, the few rows with them are put in order of the second.
+    clash = np.flatnonzero((h[order][1:] == h[order][:-1]) & (g[order][1:] < g[order][:-1]))
+    for value in np.unique(h[order][clash]).tolist():
+        a, b = np.searchsorted(h[order], value, "left"), np.searchsorted(h[order], value, "right")
+        order[a:b] = order[a:b][np.argsort(g[order[a:b]], kind="stable")]
     return order
 
 
