@@ -14,8 +14,9 @@ as bytes. Decoding writes each piece's bytes, U+2581 as a blank, and drops the f
 
 Result: doc_id, ids, n_tokens, and round_trip, whether decoding gives the text again (it doesn't for texts that
 contain U+2581 themselves). Empty text: no ids, round_trip true. Null text: null ids and round_trip, n_tokens 0.
-Null ids of documents stay, repeated rows give equal rows, other columns are ignored. Whole texts are encoded. An
-empty table gives an empty result.
+Null ids of documents stay, repeated rows give equal rows, other columns are ignored, whatever their names. Ties
+between merges go to the leftmost, as the model has it. Whole texts are encoded, however long. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -311,9 +312,14 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids): null ids give a null text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        pieces = pa.array(model(path).bytes, pa.binary())
         for b in batches:
-            texts = [None if i is None else m.decode(i) for i in b.column(1).to_pylist()]
+            lists = b.column(1)
+            null = np.asarray(lists.is_null())
+            first = np.concatenate([[0], np.cumsum(np.where(null, 0, lists.value_lengths().fill_null(0).to_numpy()))])
+            out, at = utf8(pieces.take(lists.flatten().cast(pa.int32())))
+            raw, ends = out.tobytes(), at[first].tolist()
+            texts = [None if n else raw[a + (raw[a : a + 1] == b" " and a < e) : e].decode("utf-8", "replace") for n, a, e in zip(null.tolist(), ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     source = encoded.select("doc_id", "ids")

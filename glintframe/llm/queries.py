@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glintframe.llm import chat_format, exact_dedup, langid, piece_codec, secret_scan, simhash, source_mix, suffix_dedup, token_binary, winnowing
-from glintframe.llm.common import documents
+from glintframe.llm.common import documents, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return token_binary.encode(docs, token_binary.train_dictionary(docs))
+    tokens = staged(token_binary.tokenize(documents(spark, sf_dir)))
+    return token_binary.encode(tokens, token_binary.train_dictionary(tokens))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
