@@ -1,23 +1,33 @@
 """Secret scan by token efficiency.
 
-A tokenizer's vocabulary packs language into few tokens; random strings need many. Candidates are runs of at least
-16 characters of [A-Za-z0-9+/_-], with up to two "=" after them, that hold both letters and digits, and access-key
-ids of 20 capitals and digits with a known prefix, which may lack digits. What is known to be no secret is
-excluded: UUIDs, and hexadecimal strings of a digest's length unless they are the value of something called a
-token, secret, key, password or credential ("token=", "--token ", "token is ", "Bearer ") or stand in a URL's
-user-info; runs within plain e-mail addresses and the host and path of URLs are identifiers as well, but not a URL's
-user-info, query and fragment, nor a named value in its path. Of the others those are reported that have fewer than
-2.2 characters a token under the byte-level vocabulary.
+A tokenizer's vocabulary packs language into few tokens; random strings need many. Candidates are all runs of at
+least 16 characters of [A-Za-z0-9+/_-] that hold a letter, with up to two "=" after them; the "//" after a URL's
+scheme is no part of a run. A candidate is reported if it has fewer characters a token, under the byte-level
+vocabulary, than its kind may have:
+
+* letters and digits, and access-key ids (20 capitals and digits with a known prefix): MAX_RATIO;
+* letters of mixed case within a part, parts being what + / _ - divide: MIXED_RATIO;
+* otherwise, where each part is all small, all capital or capitalised, as words are, each part of 16 letters or
+  more is judged by itself: MAX_RATIO - WORD_SLACK * sqrt(16 / letters), since the ratio of a word scatters the more
+  the shorter it is. Short random strings of one case can't be told from unknown words; about half of those of 16
+  to 24 letters are reported, and nearly all from 80 on.
+
+What is known to be no secret is excluded: numbers (digits only), UUIDs, and hexadecimal strings of a digest's length
+unless they are the value of something called a token, secret, key, password or credential ("token=", "--token ",
+"token is ", "Bearer ") or stand in a URL's user-info; runs within plain e-mail addresses and the host and path of
+URLs are identifiers as well, but not a URL's user-info, query and fragment, nor a named value in its path. A URL
+reaches from its scheme, however far back, to the next blank, quote or angle bracket.
 
 One row for each string found: doc_id, its first character and the one after it (0-based), its tokens and
 characters a token. The string itself is not repeated. Null and empty texts have none; whole texts are scanned,
-however long. Null ids stay, repeated rows are all reported, other columns are ignored. An empty table gives an
-empty result.
+however long. Null ids stay, ties and repeated rows are all reported, other columns are ignored, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -34,6 +44,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MIN_CHARS = 16
 MAX_RATIO = 2.2
+MIXED_RATIO = 1.9
+WORD_SLACK = 0.6
 SLICE_BYTES = 4 << 20
 
 _KEY_ID = re.compile(rb"(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}")
@@ -43,12 +55,14 @@ _DIGEST = {32, 40, 56, 64, 96, 128}
 _NAMED = re.compile(rb"""(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|credential|auth)[A-Za-z0-9_-]{0,16}["']?\s{0,4}(?:[=:]|=>|:=)\s{0,4}["'`]?$""", re.I)
 #: A name and its value with blanks between. "key" and "auth" end other words ("turkey") or begin them ("author").
 _SPOKEN = re.compile(rb"""(?:(?:token|secret|passw(?:or)?d|pwd|credential|(?<![a-z])(?:api|access|private|secret|auth|signing|encryption)?key|(?<![a-z])auth)s?(?:[_-][A-Za-z0-9_-]{0,16})?["'`]?\s{1,4}(?:(?:is|was|are|equals)(?:\s{0,4}[=:]\s{0,4}|\s{1,4}))?|(?<![a-z])bearer["'`]?[\s:=]{1,4})["'`(]?$""", re.I)
-_URL = re.compile(rb"[a-z][a-z0-9+.-]{1,9}://([^\s\"'<>]*)$", re.I)
-_USER_INFO = re.compile(rb"[^\s\"'<>/?#@]*@")
+_SCHEME = re.compile(rb"[a-z][a-z0-9+.-]{1,9}://", re.I)
 _LOCAL = rb"(?:^|[\s<>()\[\],;\"'`|\x80-\xff]|mail(?:to)?[:=])[A-Za-z0-9._%+-]"
 _MAILBOX, _AT = re.compile(_LOCAL + rb"{0,64}$", re.I), re.compile(_LOCAL + rb"{1,64}@$", re.I)
 _DOMAIN = re.compile(rb"@[A-Za-z0-9\x80-\xff-]+\.[A-Za-z0-9\x80-\xff]")
-_AROUND = 256
+_LABEL = re.compile(rb"\.[A-Za-z0-9]")
+_PARTS = re.compile(rb"[A-Za-z]+")
+#: More bytes than _NAMED, _SPOKEN, _MAILBOX and _AT, whose repeats are all bounded, can reach back.
+_REACH = 128
 
 
 @cache
@@ -67,27 +81,77 @@ def _table(chars: bytes) -> np.ndarray:
 _RUN = _table(bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_-"))
 _DIGITS = _table(b"0123456789")
 _LETTERS = _table(bytes(c for c in range(128) if chr(c).isalpha()))
-
-
-def _in_mail(value: bytes, before: bytes, after: bytes) -> bool:
-    """Whether it is in the mailbox, or is a label of the domain, of a plain e-mail address."""
-    if _DOMAIN.match(after) and not set(value) & set(b"/="):
-        return bool(_MAILBOX.search(before))
-    return bool(re.match(rb"\.[A-Za-z0-9]", after) and not set(value) & set(b"/+_=") and _AT.search(before))
-
-
-def excluded(value: bytes, before: bytes, after: bytes) -> bool:
-    """Whether a candidate is a known digest or identifier by itself or by what stands around it."""
-    if _UUID.fullmatch(value) or _in_mail(value, before, after):
-        return True
-    url = _URL.search(before)
-    host_or_path = url is not None and not set(url[1]) & set(b"?#")
-    if host_or_path and b"/" not in url[1] and _USER_INFO.match(after):
+#: What ends a URL, and what ends its user-info.
+_ENDS = _table(b" \t\n\r\f\v\"'<>")
+_STOPS = _table(b" \t\n\r\f\v\"'<>/?#@")
+
+
+class _Page:
+    """The bytes of some texts, with what is asked about the places of candidates."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+        self.raw, self.off = data.tobytes(), off
+        self.ends = np.flatnonzero(_ENDS[data]) if len(data) else np.zeros(0, np.int64)
+        self.stops = np.flatnonzero(_STOPS[data]) if len(data) else np.zeros(0, np.int64)
+        self._urls: dict[int, tuple[int, int, int]] = {}
+
+    def url(self, a: int, first: int, stop: int) -> tuple[bool, bool] | None:
+        """None if place a is in no URL; else whether it is in the host or path, and in the part before any slash."""
+        k = int(np.searchsorted(self.ends, a)) - 1
+        begin = max(first, int(self.ends[k]) + 1 if k >= 0 else 0)
+        if begin not in self._urls:  # once for each stretch without blanks
+            end = min(stop, int(self.ends[k + 1]) if k + 1 < len(self.ends) else stop)
+            m = _SCHEME.search(self.raw, begin, end)
+            places = (-1, -1, -1)
+            if m:
+                slash = self.raw.find(b"/", m.end(), end)
+                marks = [x for x in (self.raw.find(b"?", m.end(), end), self.raw.find(b"#", m.end(), end)) if x >= 0]
+                places = (m.end(), slash if slash >= 0 else end, min(marks, default=end))
+            self._urls[begin] = places
+        scheme, slash, mark = self._urls[begin]
+        if scheme < 0 or a < scheme:
+            return None
+        return a <= mark, a <= slash
+
+    def user_info(self, b: int, stop: int) -> bool:
+        k = int(np.searchsorted(self.stops, b))
+        return k < len(self.stops) and self.stops[k] < stop and self.raw[self.stops[k]] == 64
+
+    def excluded(self, a: int, b: int, first: int, stop: int) -> bool:
+        """Whether a candidate is a known digest or identifier by itself or by what stands around it."""
+        value, before = self.raw[a:b], self.raw[max(first, a - _REACH) : a]
+        if _UUID.fullmatch(value):
+            return True
+        if _DOMAIN.match(self.raw, b, stop) and not set(value) & set(b"/=") and _MAILBOX.search(before):
+            return True
+        if _LABEL.match(self.raw, b, stop) and not set(value) & set(b"/+_=") and _AT.search(before):
+            return True
+        url = self.url(a, first, stop)
+        host_or_path = url is not None and url[0]
+        if host_or_path and url[1] and self.user_info(b, stop):
+            return False
+        named_value = _NAMED.search(before)
+        if len(value) in _DIGEST and _HEX.fullmatch(value) and not named_value and not _SPOKEN.search(before):
+            return True
+        return host_or_path and not named_value
+
+
+def _tokens(enc: tiktoken.Encoding, value: bytes) -> int:
+    return len(enc.encode_ordinary(value.decode()))
+
+
+def random_looking(value: bytes, enc: tiktoken.Encoding, min_chars: int, max_ratio: float) -> bool:
+    """Whether the tokens are too many for its kind, see above."""
+    body = value.rstrip(b"=")
+    kind = np.frombuffer(body, np.uint8)
+    if not _LETTERS[kind].any():
         return False
-    named_value = _NAMED.search(before)
-    if len(value) in _DIGEST and _HEX.fullmatch(value) and not named_value and not _SPOKEN.search(before):
-        return True
-    return host_or_path and not named_value
+    if _DIGITS[kind].any() or _KEY_ID.fullmatch(body):
+        return len(value) < max_ratio * _tokens(enc, value)
+    parts = _PARTS.findall(body)
+    if any(not (p.islower() or p.isupper() or p[1:].islower()) for p in parts):
+        return len(value) < MIXED_RATIO * _tokens(enc, value)
+    return any(len(p) >= min_chars and len(p) < (max_ratio - WORD_SLACK * math.sqrt(16 / len(p))) * _tokens(enc, p) for p in parts)
 
 
 def _scan(column: pa.Array, enc: tiktoken.Encoding, min_chars: int, max_ratio: float):
@@ -95,29 +159,28 @@ def _scan(column: pa.Array, enc: tiktoken.Encoding, min_chars: int, max_ratio: f
     run = _RUN[data] if len(data) else np.zeros(0, bool)
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
-    first = run & ~np.concatenate([[False], run[:-1]]) if len(run) else run
-    first |= run & edge[:-1]
+    begins = run & ~np.concatenate([[False], run[:-1]]) if len(run) else run
+    begins |= run & edge[:-1]
     last = run & (~np.concatenate([run[1:], [False]]) | edge[1:]) if len(run) else run
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    s, e = np.flatnonzero(begins), np.flatnonzero(last) + 1
     s, e = s[e - s >= min_chars], e[e - s >= min_chars]
-    digit, letter = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGITS, _LETTERS))
-    mixed = (digit[e] > digit[s]) & (letter[e] > letter[s])
-    head = np.flatnonzero(~mixed & (e - s == 20))
-    raw = data.tobytes()
-    mixed[[i for i in head.tolist() if _KEY_ID.fullmatch(raw[s[i] : e[i]])]] = True
-    s, e = s[mixed], e[mixed]
+    if not len(s):
+        return
+    page = _Page(data, off)
+    raw = page.raw
     text = np.searchsorted(off, s, "right") - 1
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     for a, b, t in zip(s.tolist(), e.tolist(), text.tolist(), strict=True):
-        stop = int(off[t + 1])
-        while b < stop and raw[b : b + 1] == b"=" and b - a < (1 << 30) and raw[a:b].count(b"=") < 2:
-            b += 1
+        first, stop = int(off[t]), int(off[t + 1])
+        if a > first and raw[a - 1 : a + 2] == b"://":
+            a += 2
+            if b - a < min_chars:
+                continue
+        b += len(raw[b : min(stop, b + 2)]) - len(raw[b : min(stop, b + 2)].lstrip(b"="))
         value = raw[a:b]
-        if excluded(value, raw[max(int(off[t]), a - _AROUND) : a], raw[b : min(stop, b + _AROUND)]):
-            continue
-        n = len(enc.encode_ordinary(value.decode()))
-        if len(value) < max_ratio * n:
-            at = int(chars[a] - chars[off[t]])
+        if random_looking(value, enc, min_chars, max_ratio) and not page.excluded(a, b, first, stop):
+            n = _tokens(enc, value)
+            at = int(chars[a] - chars[first])
             yield t, at, at + len(value), n, len(value) / n
 
 
