@@ -4,13 +4,16 @@ A text's UTF-8 bytes are folded to 76 classes (letters without case, digits, bla
 continuation bytes) and cut into windows of 128 bytes. Filters of 2, 3 and 4 bytes slide over a window; each
 filter's largest response goes through a ReLU and a softmax layer gives the languages and one more class, "und",
 for what is no language: it is trained on random letters, digits, encoded data and bytes, and is sure for windows without a letter. A document's
-probabilities are the means of its windows', weighted by their length; every window of the whole text counts.
+probabilities are the means of its windows', weighted by their length; every window of the whole text counts,
+however long it is, in training as well.
 
 A document is rejected, as "und", if that class has a probability of REJECT or more; else it has its best language,
 with that one's probability as confidence. Null and empty texts have no window: their pred_lang is
 "und", their confidence 0.0 and they are rejected. Null ids stay as they are, repeated rows give equal rows, ties
 go to the first language by name, and other columns are ignored (``identify``) or passed through
-(``keep_identified``). An empty table gives an empty result. Without labelled rows training fails with ValueError.
+(``keep_identified``), whatever their names. An empty table gives an empty result. Where no row is labelled (an empty
+table, or lang null throughout) there is nothing to learn from: the model then knows no language and rejects only
+null and empty texts; the others have pred_lang "und" and confidence 0.0 and are accepted.
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ UND = "und"
 REJECT = 0.7
 #: Bound of the training sample: about so many labelled documents of each language, chosen by a hash of the id.
 SAMPLE_PER_LANG = 400
-#: Windows of one document that training looks at.
-WINDOWS_PER_DOC = 8
 
 
 def _classes() -> np.ndarray:
@@ -90,6 +91,8 @@ class Model:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Responses of byte pairs, so that all filters at a place need two look-ups: at the place and two further on."""
+        if not self.filters:  # no language
+            return np.zeros((0, 0)), np.zeros((0, 0))
         two, three, four = self.filters
         z = np.zeros((N_CLASS, N_CLASS, FILTERS), np.float32)
         pair = lambda a, b: z + a[:, None] + b[None]
@@ -130,26 +133,25 @@ def _noise(n: int, rng: np.random.Generator, texts: list[bytes]) -> list[bytes]:
 
 
 def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256, seed: int = 7) -> Model:
-    """Train on whole texts with their languages. Windows are also cut short at random, so that short texts are known."""
+    """Train on whole texts with their languages. Windows are also cut short at random, so that short texts are known.
+
+    Windows are drawn so that each document of a language has the same weight, and each language.
+    """
     if not texts:
-        raise ValueError("language identification needs labelled documents")
+        return Model([UND], [], np.zeros(0, np.float32), np.zeros((0, 1), np.float32), np.zeros(1, np.float32))
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     raw = [t.encode() for t in texts]
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     x, text, length = windows(np.frombuffer(b"".join(raw), np.uint8), off)
-    first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(raw)))])
-    chosen = [rng.permutation(np.arange(first[i], first[i + 1]))[:WINDOWS_PER_DOC] for i in range(len(raw))]
-    chosen = np.concatenate(chosen)
-    x, y = x[chosen], np.array([langs.index(v) for v in labels])[text[chosen]]
-    length = length[chosen]
-    noise = _noise(max(64, len(x) // (2 * len(langs))), rng, [r[:WINDOW] for r in raw])
+    y = np.array([langs.index(v) for v in labels])[text]
+    weight = 1.0 / np.bincount(text, minlength=len(raw))[text]
+    noise = _noise(max(64, 4 * len(raw) // len(langs)), rng, [r[:WINDOW] for r in raw])
     nx, _, nl = windows(np.frombuffer(b"".join(noise), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in noise])]))
     x, length, y = np.concatenate([x, nx]), np.concatenate([length, nl]), np.concatenate([y, np.full(len(nx), len(langs))])
     k = len(langs) + 1
-    share = np.bincount(y, minlength=k).astype(float)
-    chance = (1 / np.maximum(share, 1))[y]
-    chance /= chance.sum()
+    weight = np.concatenate([weight, np.ones(len(nx))])
+    reach = np.cumsum(weight / np.maximum(np.bincount(y, weight, k), 1e-9)[y])
     p = {f"w{w}": rng.normal(0, 0.3, (w, N_CLASS, FILTERS)).astype(np.float32) for w in WIDTHS}
     for w in WIDTHS:
         p[f"w{w}"][:, 0] = 0
@@ -158,7 +160,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256,
     mean, var = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
     rows = np.arange(batch)[:, None]
     for step in range(1, steps + 1):
-        pick = rng.choice(len(x), batch, p=chance)
+        pick = np.minimum(np.searchsorted(reach, rng.random(batch) * reach[-1], "right"), len(x) - 1)
         keep = np.where((rng.random(batch) < 0.35) & (y[pick] < k - 1), rng.integers(4, WINDOW, batch), WINDOW)
         xb = np.where(np.arange(WINDOW + 3) < np.minimum(keep, length[pick])[:, None], x[pick], 0).astype(np.intp)
         yb = np.where(_LETTER[xb].any(1), y[pick], k - 1)  # without a letter it is no language, wherever it was cut out
@@ -196,22 +198,25 @@ def fit(texts: list[str], labels: list[str], steps: int = 500, batch: int = 256,
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on a sample of the labelled rows, about sample_per_lang of each language, chosen by a hash of the id."""
     labelled = docs.where(named(lang).isNotNull() & named(doc_id).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    labelled = labelled.where(F.length(named(text)) > 0)
+    sizes = {r[0]: r[1] for r in labelled.groupBy(named(lang)).count().collect()}
     if not sizes:
-        raise ValueError("language identification needs labelled documents")
+        return fit([], [])
     space = 1 << 40
     limit = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(space, space * sample_per_lang // n))])
     chosen = labelled.where(
         F.pmod(F.xxhash64(named(doc_id).cast("string")), F.lit(space)) < F.element_at(limit, named(lang))
-    ).where(F.length(named(text)) > 0)
-    rows = sorted(chosen.select(lang, text).collect())
+    )
+    rows = sorted(chosen.select(named(lang), named(text)).collect())
     return fit([r[1] for r in rows], [r[0] for r in rows])
 
 
-def _document_scores(model: Model, here: np.ndarray, on: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The class that each text gets, and its probability."""
+def _document_scores(model: Model, here: np.ndarray, on: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class that each text gets, its probability and whether the text is accepted."""
     data, off = utf8(column)
     n = len(off) - 1
+    if len(model.langs) == 1:
+        return np.zeros(n, np.int64), np.zeros(n), np.diff(off) > 0
     x, text, length = windows(data, off)
     prob = model.probabilities(x, here, on)
     prob[~_LETTER[x].any(1)] = np.eye(prob.shape[1])[-1]
@@ -222,7 +227,7 @@ def _document_scores(model: Model, here: np.ndarray, on: np.ndarray, column: pa.
     size = np.diff(off)
     total /= np.maximum(size, 1)[:, None]
     best = np.where((size > 0) & (total[:, -1] < REJECT), total[:, :-1].argmax(1), len(model.langs) - 1)
-    return best, np.where(size > 0, total[np.arange(n), best], 0.0)
+    return best, np.where(size > 0, total[np.arange(n), best], 0.0), best < len(model.langs) - 1
 
 
 SLICE_BYTES = 2 << 20
@@ -236,9 +241,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         here, on = model.tables()
         for batch in batches:
             for b in slices(batch, "_text", SLICE_BYTES):
-                best, conf = _document_scores(model, here, on, b.column(1))
+                best, conf, accepted = _document_scores(model, here, on, b.column(1))
                 names = langs.take(pa.array(best))
-                yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(conf), pa.array(best < len(model.langs) - 1)], ["doc_id", "pred_lang", "confidence", "accepted"])
+                yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(conf), pa.array(accepted)], ["doc_id", "pred_lang", "confidence", "accepted"])
 
     source = docs.select(named(doc_id).alias("doc_id"), named(text).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -254,8 +259,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         here, on = model.tables()
         for batch in batches:
             for b in slices(batch, f"c{at}", SLICE_BYTES):
-                best, _ = _document_scores(model, here, on, b.column(at))
-                kept = b.filter(pa.array(best < len(model.langs) - 1))
+                kept = b.filter(pa.array(_document_scores(model, here, on, b.column(at))[2]))
                 yield pa.RecordBatch.from_arrays(kept.columns, names)
 
     return plain.mapInArrow(tidy(keep), docs.schema)

@@ -6,8 +6,9 @@ passage of at least K + W - 1 characters therefore share a chosen hash, at match
 characters are never matched.
 
 One row for each document: hashes and positions (0-based, in characters), in order of position. Texts with fewer
-than W runs form one window; texts under K characters, empty and null texts have empty lists. Null ids stay,
-repeated rows give equal rows, other columns are ignored. An empty table gives an empty result.
+than W runs form one window; texts under K characters, empty and null texts have empty lists; very long texts are
+fingerprinted whole. Ties go to the rightmost. Null ids stay, repeated rows give equal rows, other columns are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
