@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glintframe.llm import langid, piece_codec, simhash, source_mix
@@ -109,7 +110,28 @@ def test_stages_take_effect_and_keep_columns(spark, sf):
     assert set(seen[3]) == set(seen[2]) and all(seen[3][i] >= n for i, n in seen[2].items())
     out = corpus_pipeline.STAGES[-1][1](spark, d, sf)
     assert collections.Counter(r["doc_id"] for r in out.collect()) == seen[3]
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+
+
+def test_empty_table_through_all_stages(spark, sf, tmp_path):
+    empty = documents(spark, sf).limit(0)
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark, sf):
+    """Very long texts go through whole, and columns with names of the operators' own stay."""
+    docs = documents(spark, sf).limit(40)
+    long = " ".join(r["text"] for r in docs.collect()) * 3
+    d = docs.unionByName(spark.createDataFrame([(9001, long, "en", "x", len(long)), (9002, long, None, "x", len(long))], docs.schema))
+    names = ["_drop", "_slot", "_cell", "_bitmap", "_key", "_place", "shard", "band", "_d", "_n", "a.b"]
+    for n in names:
+        d = d.withColumn(n, F.lit(7))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = staged(stage(spark, d, sf))
+        assert {x for r in d.select(*[f"`{n}`" for n in names]).distinct().collect() for x in r} == {7}
+    out = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, d, sf).collect()}
+    assert 9001 in out and 9002 not in out
+    assert out[9001]["ids"] == sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL).encode(long)
