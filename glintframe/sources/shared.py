@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder is set only where that is unset (tests)."""
+    """The session's spark.checkpoint.dir. Where that is unset a local folder is set, but only on a local master: on a
+    cluster each executor would write to a disk of its own, and rows would be lost."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glintframe-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -33,12 +37,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget_tables(spark: SparkSession) -> int:
-    """Delete the tables that this application wrote by ``checkpointed``, once no DataFrame that reads them is needed;
-    returns their number."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def tables_written(spark: SparkSession) -> int:
+    """How many tables ``checkpointed`` has written for this application and not deleted: a mark for ``forget_tables``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def forget_tables(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that this application wrote by ``checkpointed`` after the mark, but for those that keep reads,
+    once no other DataFrame that reads them is needed; returns their number."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    gone = [p for p in paths[since:] if p.rpartition("/")[2] not in read]
+    _written[spark.sparkContext.applicationId] = paths[:since] + [p for p in paths[since:] if p not in gone]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
+    for p in gone:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
-    return len(paths)
+    return len(gone)
