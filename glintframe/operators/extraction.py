@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,17 +18,23 @@ PARTS = "kind string, region_id int, k int, r int, c int, t int, v double, x dou
 def extract_regions(filtered: DataFrame, props: DataFrame, patches: DataFrame, params: Params, height: int, width: int, n_frames: int) -> DataFrame:
     """Spikes, centres of mass and footprints of every region in one long table, see kernels.regions.extract.
 
-    Regions are independent: each takes the samples of its patch from the filtered movie (t, r, c, v) through a
-    join with the small table of patches, and one task works on one region at a time.
+    Only the patches' pixels are taken from the filtered movie (t, r, c, v), by a semi-join before its samples are
+    collected, and each region meets its own small row by a cogroup. One task works on one region at a time.
     """
     small = patches.join(props.select("region_id", "cx", "cy", "pixels"), "region_id")
     # A patch covers a known set of pixels: an equi-join on pixels instead of a range join with the movie.
     cells = small.select("region_id", F.explode(F.sequence("row0", "row1")).alias("_r"), "col0", "col1").select("region_id", (F.col("_r") - 1).alias("r"), F.explode(F.sequence(F.col("col0") - 1, F.col("col1") - 1)).alias("c"))
-    series = filtered.groupBy("r", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("y"))
-    rows = series.join(cells, ["r", "c"]).join(small, "region_id")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
+    wanted = filtered.join(cells.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    series = wanted.groupBy("r", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("y"))
+    rows = series.join(cells, ["r", "c"]).select("region_id", "r", "c", "y")
+
+    def work(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        names = ["kind", "k", "r", "c", "t", "v", "x", "y"]
+        if not len(pdf) or not len(own):
+            frame = pd.DataFrame([], columns=names)
+            frame.insert(1, "region_id", [])
+            return frame
+        head = own.iloc[0]
         r0, r1, c0, c1 = (int(head[n]) - 1 for n in ("row0", "row1", "col0", "col1"))
         patch = np.zeros((n_frames, r1 - r0 + 1, c1 - c0 + 1))
         patch[:, pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0] = np.stack(pdf["y"].to_numpy()).T
@@ -36,11 +42,12 @@ def extract_regions(filtered: DataFrame, props: DataFrame, patches: DataFrame, p
         for p in head["pixels"]:
             mask[int(p["row"]) - 1 - r0, int(p["col"]) - 1 - c0] = True
         out = regions.extract(patch, mask, (r0, c0), (float(head["cy"]), float(head["cx"])), params, height, width)
-        frame = pd.DataFrame(out, columns=["kind", "k", "r", "c", "t", "v", "x", "y"])
-        frame.insert(1, "region_id", int(head["region_id"]))
+        frame = pd.DataFrame(out, columns=names)
+        frame.insert(1, "region_id", int(head["own_id"]))
         return frame
 
-    return rows.groupBy("region_id").applyInPandas(work, PARTS)
+    own = small.select(F.col("region_id").alias("own_id"), "row0", "row1", "col0", "col1", "cx", "cy", "pixels")
+    return rows.groupBy("region_id").cogroup(own.groupBy("own_id")).applyInPandas(work, PARTS)
 
 
 def cells(parts: DataFrame) -> DataFrame:
@@ -71,51 +78,68 @@ def projections(movie: DataFrame, footprint: DataFrame, weight: DataFrame | None
     return movie.join(f, ["r", "c"]).groupBy("cell_id", "t").agg(F.sum(-F.col("w") * F.col("v")).alias("b"))
 
 
-def _dense(g: DataFrame) -> tuple[list[int], np.ndarray]:
-    """The cells' matrix on the driver: its size is the number of cells squared, not that of the movie."""
-    rows = g.collect()
-    ids = sorted({r["i"] for r in rows})
-    at = {c: k for k, c in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        m[at[r["i"]], at[r["j"]]] = r["g"]
-    return ids, m
-
-
-def _solve(b: DataFrame, ids: list[int], inverse: np.ndarray) -> DataFrame:
-    shared = b.sparkSession.sparkContext.broadcast((np.array(ids), inverse))
+def coupled(g: DataFrame) -> DataFrame:
+    """(cell_id, group): cells whose footprints meet, directly or through others, under their smallest id.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, inv = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.zeros((len(keys), len(pdf)))
-            for k, p in enumerate(pdf["p"]):
-                at = np.searchsorted(keys, [x["cell_id"] for x in p])
-                v[at, k] = [x["b"] for x in p]
-            y = inv @ v
-            yield pd.DataFrame({"cell_id": np.repeat(keys, len(pdf)), "t": np.tile(pdf["t"].to_numpy(), len(keys)), "v": y.ravel()})
+    The pairs that meet, a few for each cell of a movie and no samples, are one task's.
+    """
 
-    frames = b.groupBy("t").agg(F.collect_list(F.struct("cell_id", "b")).alias("p"))
-    return frames.mapInPandas(work, "cell_id int, t int, v double")
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
+        i, j = at[: len(pdf)], at[len(pdf) :]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, least)
+            np.minimum.at(new, j, least)
+            new = new[new]
+            if (new == label).all():
+                return pd.DataFrame({"cell_id": ids, "group": ids[label]})
+            label = new
+
+    return g.where("g <> 0 or i = j").select("i", "j").groupBy().applyInPandas(work, "cell_id int, group int")
+
+
+def _solve(b: DataFrame, g: DataFrame, invert: Callable[[np.ndarray, float], np.ndarray]) -> DataFrame:
+    """Traces of each group of coupled cells, in a task of its own: the inverse of its matrix times its projections.
+
+    invert gets the matrix and the mean of the diagonal over all cells.
+    """
+    group = coupled(g)
+    mean = g.where("i = j").agg(F.avg("g").alias("mean"))
+    of = group.select(F.col("cell_id").alias("i"), F.col("group").alias("own_group"))
+    own = g.join(of, "i").crossJoin(F.broadcast(mean))
+    kinds = "cell_id int, t int, v double"
+
+    def work(rows: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(matrix):
+            return pd.DataFrame({"cell_id": [], "t": [], "v": []})
+        ids, at = np.unique(np.concatenate([matrix["i"], matrix["j"]]), return_inverse=True)
+        m = np.zeros((len(ids), len(ids)))
+        m[at[: len(matrix)], at[len(matrix) :]] = matrix["g"]
+        times, when = np.unique(rows["t"], return_inverse=True)
+        v = np.zeros((len(ids), len(times)))
+        v[np.searchsorted(ids, rows["cell_id"]), when] = rows["b"]
+        y = invert(m, float(matrix["mean"].iloc[0])) @ v
+        return pd.DataFrame({"cell_id": np.repeat(ids, len(times)), "t": np.tile(times, len(ids)), "v": y.ravel()})
+
+    return b.join(group, "cell_id").groupBy("group").cogroup(own.groupBy("own_group")).applyInPandas(work, kinds)
 
 
 def pinv_traces(movie: DataFrame, footprint: DataFrame) -> DataFrame:
     """(cell_id, t, v): pseudoinverse of the footprints times the negative movie, through the cells' Gram matrix.
 
-    Directions whose eigenvalue is under 1e-12 of the largest count as absent: the square of the singular values'
-    cut-off is below what doubles resolve.
+    The matrix falls into blocks of cells whose footprints meet; each is inverted where its traces are made. Directions
+    whose eigenvalue is under 1e-12 of the block's largest count as absent: the square of the singular values' cut-off
+    is below what doubles resolve.
     """
-    ids, g = _dense(gram(footprint))
-    return _solve(projections(movie, footprint), ids, np.linalg.pinv(g, rcond=1e-12, hermitian=True))
+    return _solve(projections(movie, footprint), gram(footprint), lambda m, _: np.linalg.pinv(m, rcond=1e-12, hermitian=True))
 
 
 def gls_traces(movie: DataFrame, footprint: DataFrame, noise: DataFrame, ridge: float = 1e-3) -> DataFrame:
-    """(cell_id, t, v): noise-weighted least squares with a ridge of this share of the mean diagonal."""
-    ids, g = _dense(gram(footprint, noise))
-    inverse = np.linalg.inv(g + ridge * np.mean(np.diag(g)) * np.eye(len(ids)))
-    return _solve(projections(movie, footprint, noise), ids, inverse)
+    """(cell_id, t, v): noise-weighted least squares with a ridge of this share of the mean diagonal of all cells."""
+    return _solve(projections(movie, footprint, noise), gram(footprint, noise), lambda m, mean: np.linalg.inv(m + ridge * mean * np.eye(len(m))))
 
 
 def cell_traces(movie: DataFrame, footprint: DataFrame, params: Params, noise: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.kernels.arrays import wilcoxon
+from glintframe.kernels.arrays import signed_rank_p
 
 GENOTYPE_PREFIXES = ("cell_barcode_", "gene_symbol_", "gene_id_")
 TILE_KEYS = ("plate", "well", "tile", "cell")
@@ -240,18 +242,38 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return g.select(*keys, "n", F.get("_q", F.lit(1)).alias("median"), "mean", (F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))).alias("iqr"))
 
 
+def signed_ranks(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Of the pairs' differences that aren't 0, by keys: how many, the rank sum of the positive ones, the number of
+    distinct magnitudes and the sum of m³ - m over ties. Ties have the mean of their ranks.
+
+    Magnitudes are counted first, so only distinct ones are sorted.
+    """
+    d = F.col(a) - F.col(b)
+    mags = df.where(d != 0).groupBy(*keys, F.abs(d).alias("_mag")).agg(F.count("*").alias("_m"), F.sum((d > 0).cast("long")).alias("_up"))
+    below = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_mag").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = mags.withColumn("_rank", below - (F.col("_m") - 1) / 2)
+    return ranked.groupBy(*keys).agg(
+        F.sum("_m").alias("differ"), F.sum(F.col("_rank") * F.col("_up")).alias("rank_sum"), F.count("*").alias("distinct"), F.sum(F.pow("_m", F.lit(3)) - F.col("_m")).alias("ties")
+    )
+
+
 def paired_summary(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """n, both medians, the share of a > b and the signed-rank p of the pairs with both values; p needs 8 pairs."""
+
     @F.pandas_udf("double")
-    def p_value(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon(i, j) if len(i) >= 8 else None for i, j in zip(x, y, strict=True)], dtype="float64")
+    def p_value(n: pd.Series, differ: pd.Series, rank_sum: pd.Series, distinct: pd.Series, ties: pd.Series) -> pd.Series:
+        rows = zip(n, differ, rank_sum, distinct, ties, strict=True)
+        return pd.Series([signed_rank_p(int(k), float(w), float(t), k == m == u) if m >= 8 and k > 0 else None for m, k, w, u, t in rows], dtype="float64")
 
     ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
     g = ok.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile(a, 0.5).alias("a_median"), F.percentile(b, 0.5).alias("b_median"), F.avg((F.col(a) > F.col(b)).cast("double")).alias("a_gt_b_frac"),
-        F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("_p"),
-    )
-    return g.withColumn("wilcoxon_p", p_value("_p.a", "_p.b")).drop("_p")
+        F.count("*").alias("n"), F.percentile(a, 0.5).alias("a_median"), F.percentile(b, 0.5).alias("b_median"), F.avg((F.col(a) > F.col(b)).cast("double")).alias("a_gt_b_frac")
+    )
+    ranks = signed_ranks(ok, keys, a, b).select(*[F.col(k).alias(f"_{k}") for k in keys], "differ", "rank_sum", "distinct", "ties")
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    p = p_value(F.col("n").cast("double"), zero("differ"), zero("rank_sum"), zero("distinct"), zero("ties"))
+    return g.join(ranks, same, "left").select(*keys, "n", "a_median", "b_median", "a_gt_b_frac", p.alias("wilcoxon_p"))
 
 
 def cutoffs(metrics: DataFrame, max_noise: float | None = None, min_snr: float | None = None, min_spectral: float | None = None) -> DataFrame:
@@ -300,6 +322,5 @@ def roughness(image: DataFrame, bins: int = 180, pct: float = 97.0) -> DataFrame
 
 def spread(df: DataFrame, value: str) -> DataFrame:
     """Coefficient of variation, and the best value less the second best."""
-    w = Window.orderBy(F.col(value).desc())
-    margin = df.select(F.col(value).alias("_v"), F.row_number().over(w).alias("_n")).where("_n <= 2").agg((F.max("_v") - F.min("_v")).alias("margin"))
-    return df.agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv")).crossJoin(margin)
+    top = df.select(F.col(value).alias("_v")).orderBy(F.col("_v").desc()).limit(2)
+    return df.agg(F.try_divide(F.stddev_pop(value), F.avg(value)).alias("cv")).crossJoin(top.agg((F.max("_v") - F.min("_v")).alias("margin")))

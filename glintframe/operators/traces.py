@@ -5,7 +5,11 @@ All of them partition by the key and order by t, so that a chain of them shares
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,25 +86,49 @@ def find_peaks(df: DataFrame, value: str = V, left_edge: bool = True) -> DataFra
 def tolerance_groups(df: DataFrame, tolerance: float, time: str = T) -> DataFrame:
     """Greedy groups of ascending times: a group takes all within the tolerance of its first. (key, first, last, n).
 
-    Repeated times are equal members. The fold is sequential within a key and independent between keys.
+    Repeated times are equal members; null times have no group. Rows are sorted by key and time within partitions by
+    key, and a pass over them in batches goes from group to group, so that many keys share a task and a long one is
+    linear in its rows and never in memory as a whole.
     """
-    times = F.array_sort(F.collect_list(F.col(time).cast("double")))
-    group = "struct<first:double,last:double,n:bigint>"
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (x - F.coalesce(F.try_element_at(acc, F.lit(-1))["first"], x) <= tolerance)
-        grown = F.struct(last["first"].alias("first"), x.alias("last"), (last["n"] + 1).alias("n"))
-        new = F.struct(x.alias("first"), x.alias("last"), F.lit(1).cast("bigint").alias("n"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
-
-    def safe(acc, x):
-        # element_at fails on an empty array, so the first element starts the list
-        return F.when(F.size(acc) == 0, F.array(F.struct(x.alias("first"), x.alias("last"), F.lit(1).cast("bigint").alias("n")))).otherwise(step(acc, x))
-
-    zero = F.array().cast(f"array<{group}>")
-    folded = df.groupBy(K).agg(times.alias("_t")).select(K, F.explode(F.aggregate("_t", zero, safe)).alias("g"))
-    return folded.select(K, "g.first", "g.last", "g.n")
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}[K]
+    rows = df.where(F.col(time).isNotNull()).select(K, F.col(time).cast("double").alias("t"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "first", "last", "n"]
+
+        def out(found: list[tuple], keys: pa.DataType) -> pa.RecordBatch:
+            k, first, last, n = zip(*found, strict=True) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(k, keys), pa.array(first, pa.float64()), pa.array(last, pa.float64()), pa.array(n, pa.int64())], names)
+
+        open_, keys = None, None  # the group that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).type
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            t = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])).tolist()
+            found = []
+            for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True):
+                key, i = batch.column(0)[a].as_py(), a
+                while i < b:
+                    goes_on = open_ is not None and open_[0] == key
+                    first = open_[1] if goes_on and t[i] - open_[1] <= tolerance else float(t[i])
+                    j = int(np.searchsorted(t[i:b], first + tolerance, "right")) + i
+                    while j < b and t[j] - first <= tolerance:  # the sum and the difference round apart
+                        j += 1
+                    while j > i + 1 and t[j - 1] - first > tolerance:
+                        j -= 1
+                    j = max(j, i + 1)
+                    before = open_[3] if goes_on and first == open_[1] and t[i] - open_[1] <= tolerance else 0
+                    if open_ is not None and not before:
+                        found.append(open_)
+                    open_, i = (key, first, float(t[j - 1]), before + j - i), j
+            yield out(found, keys)
+        if open_ is not None:
+            yield out([open_], keys)
+
+    return rows.repartition(K).sortWithinPartitions(K, "t").mapInArrow(work, f"key {kind}, first double, last double, n bigint")
 
 
 def dedup_close(df: DataFrame, tolerance: float) -> DataFrame:

@@ -68,7 +68,18 @@ def run_comparison_summary(spark: SparkSession, sf: str) -> DataFrame:
     return snr.compare(a, a, b, b, FPS, k=1.5)[1]
 
 
-@register("dbscan")
+@register(
+    "dbscan",
+    """WITH RECURSIVE p AS (SELECT label AS key, vec_id AS id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y FROM embeddings),
+n AS (SELECT a.key, a.id, b.id AS other FROM p a JOIN p b ON a.key = b.key AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2.25e0),
+core AS (SELECT key, id FROM n GROUP BY key, id HAVING count(*) >= 3),
+e AS (SELECT n.key, n.id, n.other FROM n JOIN core a ON a.id = n.id JOIN core b ON b.id = n.other),
+w AS (SELECT key, id, id AS root FROM core UNION SELECT w.key, e.other, w.root FROM w JOIN e ON e.id = w.id WHERE w.root < e.other),
+c AS (SELECT key, id, min(root) AS root FROM w GROUP BY key, id),
+k AS (SELECT key, root, row_number() OVER (PARTITION BY key ORDER BY root) - 1 AS label FROM (SELECT DISTINCT key, root FROM c)),
+m AS (SELECT n.key, n.id, min(k.label) AS label FROM n JOIN c ON c.id = n.other JOIN k ON k.key = c.key AND k.root = c.root GROUP BY n.key, n.id)
+SELECT p.key, p.id, coalesce(m.label, -1)::INT AS label FROM p LEFT JOIN m ON m.id = p.id""",
+)
 def dbscan(spark: SparkSession, sf: str) -> DataFrame:
     c = _cells(spark, sf)
     pts = c.select(F.col("label").alias("key"), F.col("cell_id").alias("id"), (F.get("y", F.lit(0)) * 20).alias("x"), (F.get("y", F.lit(1)) * 20).alias("y"))
@@ -105,6 +116,36 @@ def gls_traces(spark: SparkSession, sf: str) -> DataFrame:
     return ex.gls_traces(m, _foot(spark, sf), mv.pixel_noise_map(mv.temporal_filter(m), ((1, 60),)))
 
 
+_NOISE_VALUE = "(2 + r + c / 10e0)"
+_PAIR = f"{_FOOT}, f AS (SELECT cell_id::INT AS cell_id, r, c, w FROM foot WHERE cell_id < 2 AND (cell_id = 0 OR c < 20))"
+
+
+def _pair(spark: SparkSession, sf: str) -> DataFrame:
+    return _foot(spark, sf).where("cell_id < 2 and (cell_id = 0 or c < 20)").select(F.col("cell_id").cast("int").alias("cell_id"), "r", "c", "w")
+
+
+def _two_cells(weight: str, ridge: str) -> str:
+    """Traces of two cells from the inverse of their matrix written out."""
+    return f"""WITH {_PAIR}, m AS (SELECT sum(w * w / {weight}) FILTER (cell_id = 0) AS a0, sum(w * w / {weight}) FILTER (cell_id = 1) AS d0 FROM f),
+o AS (SELECT sum(x.w * y.w / {weight.replace("(2 + r", "(2 + x.r").replace("+ c /", "+ x.c /")}) AS b FROM f x JOIN f y ON x.r = y.r AND x.c = y.c AND x.cell_id = 0 AND y.cell_id = 1),
+q AS (SELECT a0 + {ridge} * (a0 + d0) / 2 AS a, d0 + {ridge} * (a0 + d0) / 2 AS d, b FROM m, o),
+p AS (SELECT t, -sum(w * v / {weight}) FILTER (cell_id = 0) AS p, -sum(w * v / {weight}) FILTER (cell_id = 1) AS q FROM g JOIN f USING (r, c) GROUP BY t),
+s AS (SELECT t, (d * p.p - b * p.q) / (a * d - b * b) AS x, (a * p.q - b * p.p) / (a * d - b * b) AS y FROM p, q)
+SELECT 0::INT AS cell_id, t, round(x, 4) AS v FROM s UNION ALL SELECT 1::INT, t, round(y, 4) FROM s"""
+
+
+@register("pinv_two_cells", _two_cells("1", "0"))
+def pinv_two_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return ex.pinv_traces(grid_movie(spark, sf), _pair(spark, sf)).select("cell_id", "t", F.round("v", 4).alias("v"))
+
+
+@register("gls_two_cells", _two_cells(f"({_NOISE_VALUE} * {_NOISE_VALUE})", "0.001e0"))
+def gls_two_cells(spark: SparkSession, sf: str) -> DataFrame:
+    m = grid_movie(spark, sf)
+    noise = m.select("r", "c").distinct().withColumn("v", 2 + F.col("r") + F.col("c") / 10)
+    return ex.gls_traces(m, _pair(spark, sf), noise).select("cell_id", "t", F.round("v", 4).alias("v"))
+
+
 @register("extract_regions")
 def extract_regions(spark: SparkSession, sf: str) -> DataFrame:
     m = grid_movie(spark, sf)

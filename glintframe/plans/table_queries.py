@@ -124,13 +124,13 @@ def nn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rel.neighbour_pairs(_points(spark, sf), 20, 0.1).select("id", "other", F.round("d", 9).alias("d"))
 
 
-_BOXES = "b AS (SELECT l_orderkey AS id, min(l_partkey)::BIGINT AS r0, min(l_partkey) + 20 + max(l_quantity)::BIGINT AS r1, (min(l_suppkey) * 7 % 91) * 30 AS c0, (min(l_suppkey) * 7 % 91) * 30 + 25 AS c1 FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY l_orderkey)"
+_BOXES = "b AS (SELECT l_orderkey AS id, min(l_partkey)::BIGINT AS r0, min(l_partkey) + 20 + max(l_quantity)::BIGINT AS r1, (min(l_suppkey) * 7 % 91) * 30 AS c0, (min(l_suppkey) * 7 % 91) * 30 + 25 AS c1 FROM lineitem GROUP BY l_orderkey)"
 
 
 @register("isolated_boxes", f"WITH {_BOXES} SELECT id, NOT EXISTS (SELECT 1 FROM b o WHERE o.id <> b.id AND b.r0 <= o.r1 AND o.r0 <= b.r1 AND b.c0 <= o.c1 AND o.c0 <= b.c1) AS isolated FROM b")
 def isolated_boxes(spark: SparkSession, sf: str) -> DataFrame:
     low = F.min("l_suppkey") * 7 % 91 * 30
-    b = _read(spark, sf, "lineitem").where("l_orderkey % 25 = 0").groupBy(F.col("l_orderkey").alias("id"))
+    b = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
     b = b.agg(F.min("l_partkey").alias("r0"), (F.min("l_partkey") + 20 + F.max("l_quantity").cast("long")).alias("r1"), low.alias("c0"), (low + 25).alias("c1"))
     return rel.isolated(b)
 
@@ -237,9 +237,23 @@ def paired_win_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("label", "n", *[F.round(c, 8).alias(c) for c in ("a_median", "b_median", "a_gt_b_frac")])
 
 
-@register("paired_wilcoxon")
+#: Simpson's rule for the complementary error function, which SQL lacks.
+_ERFC = "2e0 / sqrt(pi()) * 0.008e0 / 3 * list_sum(list_transform(range(0, 1001), lambda k: (CASE WHEN k = 0 OR k = 1000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(u + k * 0.008e0) * (u + k * 0.008e0))))"
+
+
+@register(
+    "paired_wilcoxon",
+    f"""WITH p AS (SELECT label % 3 AS grp, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE + embedding[3]::DOUBLE / 8 AS b FROM embeddings), d AS (SELECT grp, a - b AS d, abs(a - b) AS m FROM p WHERE a <> b),
+k AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY m) + (count(*) OVER (PARTITION BY grp, m) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY grp, m) AS t FROM d),
+s AS (SELECT grp, count(*)::DOUBLE AS n, sum(r) FILTER (d > 0) AS plus, sum(t * t - 1)::DOUBLE AS ties FROM k GROUP BY grp),
+z AS (SELECT grp, n::BIGINT AS differ, round(plus, 6) AS rank_sum, abs(least(plus, n * (n + 1) / 2 - plus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2e0) AS u FROM s)
+SELECT grp, differ, rank_sum, round({_ERFC}, 8) AS wilcoxon_p FROM z""",
+)
 def paired_wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.paired_summary(_fit_points(spark, sf), ["label"], "x", "y").select("label", "n", "wilcoxon_p")
+    x = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    p = _read(spark, sf, "embeddings").select((F.col("label") % 3).alias("grp"), x(0).alias("a"), (x(1) + x(2) / 8).alias("b"))
+    ranks = rel.signed_ranks(p, ["grp"]).select("grp", "differ", F.round("rank_sum", 6).alias("rank_sum"))
+    return ranks.join(rel.paired_summary(p, ["grp"]).select("grp", F.round("wilcoxon_p", 8).alias("wilcoxon_p")), "grp")
 
 
 @register("metric_cutoffs", f"WITH {_FIT} SELECT label, x AS noise_sigma, y AS snr_median FROM q WHERE x <= 0.1 AND y >= -0.05")
@@ -258,12 +272,12 @@ def majority_region(spark: SparkSession, sf: str) -> DataFrame:
     return rel.majority_region(f, i.select("r", "c", F.floor((F.col("c") + F.col("r")) / 9).cast("int").alias("region_id")))
 
 
-_GATE = "k AS (SELECT l_orderkey * 10 + l_linenumber AS fov, l_discount * 8 AS ncc, 2 + l_quantity / 20 AS scale FROM lineitem WHERE l_orderkey % 50 = 0), e AS (SELECT quantile_cont(scale, 0.5) AS expected FROM k WHERE ncc >= 0.3)"
+_GATE = "k AS (SELECT l_orderkey * 10 + l_linenumber AS fov, l_discount * 8 AS ncc, 2 + l_quantity / 20 AS scale FROM lineitem), e AS (SELECT quantile_cont(scale, 0.5) AS expected FROM k WHERE ncc >= 0.3)"
 
 
 @register("registration_gate", f"WITH {_GATE} SELECT fov, ncc, scale, expected, CASE WHEN ncc < 0.3 THEN format('ncc {{:.3f}} < min_ncc 0.30', ncc) WHEN NOT (scale > expected / 1.5e0 AND scale < expected * 1.5e0) THEN format('scale {{:.3f}} outside ({{:.3f}}, {{:.3f}})', scale, expected / 1.5e0, expected * 1.5e0) ELSE '' END AS reason, NOT (ncc < 0.3) AND scale > expected / 1.5e0 AND scale < expected * 1.5e0 AS passed FROM k, e")
 def registration_gate(spark: SparkSession, sf: str) -> DataFrame:
-    li = _read(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    li = _read(spark, sf, "lineitem")
     return rel.gate(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fov"), (F.col("l_discount") * 8).alias("ncc"), (2 + F.col("l_quantity") / 20).alias("scale")))
 
 

@@ -65,7 +65,16 @@ def findpeaks_middle(spark: SparkSession, sf: str) -> DataFrame:
     return tr.find_peaks(_coarse(spark, sf), left_edge=False)
 
 
-@register("findpeaks_distance")
+@register(
+    "findpeaks_distance",
+    f"""WITH RECURSIVE {_TRACE}, c AS (SELECT key, t, v, lag(v) OVER (PARTITION BY key ORDER BY t) AS b, max(t) OVER (PARTITION BY key) AS last FROM tr),
+f AS (SELECT * FROM c WHERE b IS NULL OR b <> v), r AS (SELECT key, t, coalesce(lead(t) OVER w - 1, last) AS t1, v, lag(v) OVER w AS vb, lead(v) OVER w AS va FROM f WINDOW w AS (PARTITION BY key ORDER BY t)),
+p AS (SELECT key, (t + t1) // 2 AS t, v FROM r WHERE vb < v AND va < v AND v >= 100),
+o AS (SELECT key, t, v, row_number() OVER (PARTITION BY key ORDER BY v DESC, t DESC) AS i, count(*) OVER (PARTITION BY key) AS n FROM p),
+g AS (SELECT key, i, n, [t] AS kept FROM o WHERE i = 1
+UNION ALL SELECT o.key, o.i, o.n, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - o.t) < 8)) = 0 THEN list_append(g.kept, o.t) ELSE g.kept END FROM g JOIN o ON o.key = g.key AND o.i = g.i + 1)
+SELECT o.key, o.t, o.v::DOUBLE AS v FROM o JOIN g ON g.key = o.key AND g.i = g.n AND list_contains(g.kept, o.t)""",
+)
 def findpeaks_distance(spark: SparkSession, sf: str) -> DataFrame:
     return tr.find_peaks_distance(events(spark, sf), 100.0, 8)
 
