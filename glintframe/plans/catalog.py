@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from glintframe.plans import kernel_queries, movie_queries, table_queries, trace_queries  # noqa: F401
+    from glintframe.plans import field_queries, kernel_queries, movie_queries, table_queries, trace_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

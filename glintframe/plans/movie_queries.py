@@ -95,13 +95,14 @@ def range_mean(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(mv.range_means(grid_movie(spark, sf), RANGES))
 
 
-@register(
-    "background_interp",
-    f"""WITH {_RANGE}, a AS (SELECT range_id AS k, floor((a + b) / 2.0 + 0.5) AS f, lead(floor((a + b) / 2.0 + 0.5)) OVER (ORDER BY range_id) AS g FROM s),
+_BACKGROUND = f"""{_RANGE}, a AS (SELECT range_id AS k, floor((a + b) / 2.0 + 0.5) AS f, lead(floor((a + b) / 2.0 + 0.5)) OVER (ORDER BY range_id) AS g FROM s),
 w AS (SELECT t, coalesce(max(CASE WHEN t + 1 > f THEN k END), 0) AS k FROM (SELECT DISTINCT t FROM g) CROSS JOIN a GROUP BY t),
-z AS (SELECT w.t, w.k, CASE WHEN a.g IS NULL OR w.t + 1 <= a.f THEN 0 ELSE (w.t + 1 - a.f)::DOUBLE / (a.g - a.f) END AS q FROM w JOIN a USING (k))
-SELECT g.t, g.r, g.c, round(g.v - ((1 - q) * b.v + q * coalesce(e.v, 0)), 8) AS v FROM g JOIN z ON z.t = g.t JOIN k b ON b.range_id = z.k AND b.r = g.r AND b.c = g.c LEFT JOIN k e ON e.range_id = z.k + 1 AND e.r = g.r AND e.c = g.c""",
-)
+z AS (SELECT w.t, w.k, CASE WHEN a.g IS NULL OR w.t + 1 <= a.f THEN 0 ELSE (w.t + 1 - a.f)::DOUBLE / (a.g - a.f) END AS q FROM w JOIN a USING (k))"""
+_LESS = "round(g.v - ((1 - q) * b.v + q * coalesce(e.v, 0)), 8) AS v"
+_BACKGROUND_FROM = "g JOIN z ON z.t = g.t JOIN k b ON b.range_id = z.k AND b.r = g.r AND b.c = g.c LEFT JOIN k e ON e.range_id = z.k + 1 AND e.r = g.r AND e.c = g.c"
+
+
+@register("background_interp", f"WITH {_BACKGROUND} SELECT g.t, g.r, g.c, {_LESS} FROM {_BACKGROUND_FROM}")
 def background_interp(spark: SparkSession, sf: str) -> DataFrame:
     m = grid_movie(spark, sf)
     return _rounded(mv.subtract_background(m, mv.range_means(m, RANGES), RANGES), 8)
