@@ -174,3 +174,14 @@ def localize(spark: SparkSession, sf: str) -> DataFrame:
         one = win.agg(px.alias("px")).select(F.lit(k).alias("fov"), F.lit(float(b)).alias("stage_x"), F.lit(float(a)).alias("stage_y"), F.lit(40).alias("h"), F.lit(60).alias("w"), "px")
         fovs = one if fovs is None else fovs.unionAll(one)
     return rg.localize(fovs, rg.small_mosaic(img, 1), 1, ("identity", "fliplr"), (1.0,))
+
+
+@register("variant_effects")
+def variant_effects(spark: SparkSession, sf: str) -> DataFrame:
+    return snr.variant_effects(_cells(spark, sf), FPS, k=1.5)
+
+
+@register("run_report")
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _runs(spark, sf)
+    return snr.report_lines(*snr.compare(a, a, b, b, FPS, k=1.5))

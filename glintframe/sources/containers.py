@@ -93,3 +93,31 @@ def read_tiles(spark: SparkSession, path: str, pattern: str = r"(\d+)\.tiff?$",
                 yield pd.DataFrame({"tile": int(found[1]), "ch": ch, "r": r, "px": list(a.reshape(-1, a.shape[2]))})
 
     return _files(spark, path, glob).mapInPandas(work, "tile int, ch int, r int, px array<int>")
+
+
+def orient(traces: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Traces as (cells, frames) and centres as (cells, 2), whichever way round they come: centres have two columns, and
+    traces as many rows as there are centres."""
+    if centres.shape[1] != 2 and centres.shape[0] == 2:
+        centres = centres.T
+    if traces.shape[0] != centres.shape[0] and traces.shape[1] == centres.shape[0]:
+        traces = traces.T
+    if traces.shape[0] != centres.shape[0]:
+        raise ValueError(f"{traces.shape} traces don't go with {centres.shape} centres")
+    return traces, centres
+
+
+def read_result(spark: SparkSession, path: str, traces: str = "cell_traces", centres: str = "footprint_center", glob: str | None = None) -> DataFrame:
+    """(path, cell_id, row, col, y): the cells of stored results, one row each, of every file of a path. Arrays were
+    stored with their dimensions reversed and are turned round; see ``orient``. Files without both arrays have no rows."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                tree = hdf5.read(bytes(c))
+                if traces not in tree or centres not in tree:
+                    continue
+                y, at = orient(np.atleast_2d(np.asarray(tree[traces], float).T), np.atleast_2d(np.asarray(tree[centres], float).T))
+                yield pd.DataFrame({"path": p, "cell_id": np.arange(len(y)), "row": at[:, 0], "col": at[:, 1], "y": list(y)})
+
+    return _files(spark, path, glob).mapInPandas(work, "path string, cell_id int, row double, col double, y array<double>")

@@ -598,3 +598,87 @@ def test_cut_tables_can_be_deleted(spark):
     mine = [Path(p.removeprefix("file:")) for p in shared._written[spark.sparkContext.applicationId]]
     assert all(p.parent == folder and p.exists() for p in mine)
     assert shared.forget_tables(spark) == len(mine) and not any(p.exists() for p in mine)
+
+
+def test_stored_results_are_oriented(spark, tmp_path):
+    from glintframe.kernels import hdf5
+    from glintframe.sources.containers import orient, read_result
+
+    y, at = np.arange(12.0).reshape(3, 4), np.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    for k, (a, b) in enumerate(((y.T, at.T), (y, at.T), (y.T, at), (y, at))):  # as stored, and turned round
+        (tmp_path / f"r{k}.h5").write_bytes(hdf5.write({"cell_traces": a, "footprint_center": b}))
+    (tmp_path / "none.h5").write_bytes(hdf5.write({"other": y}))
+    rows = read_result(spark, str(tmp_path)).collect()
+    assert len(rows) == 12 and {r["path"].rpartition("/")[2] for r in rows} == {f"r{k}.h5" for k in range(4)}
+    for r in rows:
+        assert r["y"] == y[r["cell_id"]].tolist() and [r["row"], r["col"]] == at[r["cell_id"]].tolist()
+    with pytest.raises(ValueError, match="centres"):
+        orient(np.zeros((5, 7)), at)
+
+
+def test_variants_and_report(spark, sf):
+    rng = np.random.default_rng(2)
+    t = np.arange(4000) / 800
+    y = rng.normal(size=4000) + 3 * np.sin(2 * np.pi * 60 * t)
+    y[200::400] += 40
+    cells = spark.createDataFrame([(1, y.tolist())], "cell_id int, y array<double>")
+    by = {r["variant"]: r for r in snr.variant_effects(cells, 800.0, snr.VARIANTS | {"half": lambda x, _: x / 2}).collect()}
+    assert set(by) == {"baseline", "notch", "half"} and by["baseline"]["amplitude_ratio"] == 1.0
+    assert by["notch"]["sigma"] < 0.6 * by["baseline"]["sigma"] and by["notch"]["amplitude_ratio"] > 0.9
+    assert by["half"]["sigma"] == pytest.approx(by["baseline"]["sigma"] / 2) and by["half"]["amplitude_ratio"] == pytest.approx(0.5)
+    lines = [r["text"] for r in catalog.queries()["run_report"](spark, sf).collect()]
+    assert lines[0].startswith("A and B: matched cells") and len(lines) == 1 + 3 + 7
+    assert lines[1].startswith("corr_raw") and lines[4].startswith("noise_sigma")
+
+
+def test_long_keys_are_grouped_in_linear_time(spark):
+    """Many times in one key, across batches, against the rule written out."""
+    rng = np.random.default_rng(3)
+    times = np.sort(np.round(rng.random(40_000) * 5000, 2))
+    df = spark.createDataFrame([(0, float(v)) for v in times] + [(1, 5.0), (1, 5.0), (None, 1.0), (1, None)], "key int, t double").repartition(5)
+    want, first = [], None
+    for v in times:
+        if first is None or v - first > 0.7:
+            want.append([v, v, 0])
+            first = v
+        want[-1][1:] = [v, want[-1][2] + 1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "999")
+    try:
+        got = sorted(tr.tolerance_groups(df, 0.7).collect(), key=lambda r: (r["key"] is None, r["key"], r["first"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [[r["first"], r["last"], r["n"]] for r in got if r["key"] == 0] == want
+    assert [tuple(r) for r in got if r["key"] != 0] == [(1, 5.0, 5.0, 2), (None, 1.0, 1.0, 1)]
+
+
+def test_fields_as_arrays_agree_with_the_long_form(spark):
+    """Reference, motion and filter of two fields of unlike length against the operators on the long form of each."""
+    from glintframe.operators import frames as fr
+
+    rng = np.random.default_rng(4)
+    h, w = 6, 9
+    movies = {"a": rng.normal(size=(30, h * w)).cumsum(0), "b": rng.normal(size=(21, h * w))}
+    rows = [(f, t, x.tolist()) for f, m in movies.items() for t, x in enumerate(m)]
+    frames = spark.createDataFrame([*rows, ("a", 99, None)], "fov string, t int, px array<double>").repartition(4)
+    ref = {r["fov"]: r for r in fr.reference_images(frames, h, w).collect()}
+    moved = fr.to_long(fr.motion_correct(frames.where("px is not null"), h, w), w)
+    filtered = fr.blocks_to_long(fr.filtered_blocks(frames, block=10), w, 10)
+    for f, m in movies.items():
+        long = fr.to_long(frames.where(f"fov = '{f}'"), w).drop("fov")
+        assert np.allclose(np.reshape(ref[f]["reference"], (h, w)), array(mv.reference_image(long, w), (h, w)), atol=1e-9)
+        for got, want in ((moved, mv.motion_correct(long)), (filtered, mv.temporal_filter(long))):
+            pairs = got.where(f"fov = '{f}'").join(want.withColumnRenamed("v", "u"), ["t", "r", "c"]).selectExpr("count(*) n", "max(abs(v - u)) d").first()
+            assert pairs["n"] == m.size and pairs["d"] < 1e-8
+    none = frames.where("fov = 'z'")
+    assert fr.reference_images(none, h, w).count() == 0 == fr.filtered_blocks(none).count()
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from glintframe.sources.shared import shared_folder
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("K", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))})})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Unset)
