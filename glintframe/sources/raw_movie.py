@@ -115,13 +115,13 @@ def _adjacent(img: np.ndarray) -> float:
     return sum(out) / 2
 
 
-def search_shapes(spark: SparkSession, path: str, lo: int = 100, hi: int = 2100, most_frames: int = 1_000_000) -> DataFrame:
+def search_shapes(spark: SparkSession, path: str, lo: int = 100, hi: int = 2100) -> DataFrame:
     """(pixels, nrow, ncol, score) of every shape that divides the file into whole frames, the smoothest first.
 
     For files without a sidecar. Shapes are rows of a table, each scored on the first two frames by one task.
     """
     total = os.path.getsize(path) // 2
-    sizes = [n for n in range(lo * lo, min(hi * hi, total // 2) + 1) if total % n == 0 and total // n <= most_frames]
+    sizes = [n for n in range(lo * lo, min(hi * hi, total // 2) + 1) if total % n == 0]
     shapes = [(n, r, n // r) for n in sizes for r in range(lo, hi + 1) if n % r == 0 and lo <= n // r <= hi]
     if not shapes:
         raise ValueError("no shape within the limits divides the file")
