@@ -43,7 +43,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_pairs(documents(spark, sf_dir))
+    return simhash.near_classes(documents(spark, sf_dir))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,21 @@ the rest of the tree and follows all its queries through it at once. Values that
 for their fingerprints, which are compared in all bits, so the pairs are exact; of the bands that find a pair the
 first reports it.
 
-Equal fingerprints are one point, under the smallest id. The result has the pair (smallest id, other id, 0) for
-each of the others and one pair of smallest ids for every two near points: the star stands for all pairs between
-the copies. Documents without a word, null and empty texts have no fingerprint and are near nothing. Null ids take
-no part in pairs and are kept by ``drop_near_duplicates``. Rows with equal ids count once in pairs; of rows that
-share an id, all stay or go. Other columns are ignored (``near_pairs``) or passed through. An empty table gives an
-empty result. Very long texts are hashed as a whole; ties (equal distances, equal fingerprints) change nothing but
-which id stands for them, the smallest.
+Results: ``near_classes`` has one row per document, with its class, a connected component of near copies named by
+its smallest id, and its links, the number of other documents within RADIUS bits. k near copies have k * (k - 1) / 2
+pairs and classes grow with the corpus, so pairs are no result for a large one. Each is still found, compared in all
+bits and counted, but a shard passes on no more than one hook and one count for each of its points.
+
+``near_pairs`` lists the pairs. Equal fingerprints are one point, under the smallest id. The result has the pair
+(smallest id, other id, 0) for each of the others and one pair of smallest ids for every two near points: the star
+stands for all pairs between the copies.
+
+Documents without a word, null and empty texts have no fingerprint and are near nothing: classes of their own, no
+links. Null ids take no part in pairs and classes and are kept by ``drop_near_duplicates``. Rows with equal ids count
+once in pairs and are one row in one class; with different fingerprints they are counted apart in links. Of rows that
+share an id, all stay or go. Other columns are ignored (``near_classes``, ``near_pairs``) or passed through. An empty
+table gives an empty result. Very long texts are hashed as a whole; ties (equal distances, equal fingerprints) change
+nothing but which id stands for them, the smallest.
 """
 
 from __future__ import annotations
@@ -35,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from glintframe.llm.common import fresh, named, slices, small_enough, staged, tidy
@@ -237,8 +245,8 @@ def _expanded(first: np.ndarray, size: np.ndarray, other: np.ndarray, other_size
         yield first[k] + i, other[k] + j
 
 
-def search(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: int, radius_all: int, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (stored point, query point, distance) of one shard that this band is the first to find.
+def found(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: int, radius_all: int, counts: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (stored point, query point, distance) of one shard that this band is the first to find, by blocks.
 
     All points are queries, those at home are stored. A pair of two values is reported where the smaller is stored,
     two points of one value in both orders.
@@ -249,7 +257,6 @@ def search(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: i
     asked, first_asked, n_asked = np.unique(values[band][by], return_index=True, return_counts=True)
     own = by[home[by]]
     stored, first_own, n_own = np.unique(values[band][own], return_index=True, return_counts=True)
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p, q in value_pairs(stored, asked, radius, counts):
         once = stored[p] <= asked[q]
         p, q = p[once], q[once]
@@ -265,13 +272,53 @@ def search(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: i
             new = np.ones(len(i), bool)
             for b in range(band):
                 new &= np.bitwise_count(values[b][i] ^ values[b][j]) > radius
-            pairs.append((i[new], j[new], d[new]))
+            yield i[new], j[new], d[new]
+
+
+def search(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, band: int, bands: int, radius_all: int, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All that ``found`` finds."""
+    pairs = list(found(hi, lo, home, band, bands, radius_all, counts))
     if not pairs:
         e = np.zeros(0, np.int64)
         return e, e, e
     return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
 
 
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of i and j, in place; root has a point of its component for each point, itself for that one."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, up := root[root]):
+            root[:] = up
+
+
+def hooks(hi: np.ndarray, lo: np.ndarray, home: np.ndarray, copies: np.ndarray, band: int, bands: int, radius_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point of a shard, a point of the component that the shard's pairs make, the same for all of it, and how
+    many documents its pairs lead to, a point standing for as many as it has copies. Pairs are held by blocks only."""
+    value = band_values(hi, lo, bands)[band]
+    root, links = np.arange(len(hi)), np.zeros(len(hi), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        if held:
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            unite(root, i, j)
+            held.clear()
+
+    for i, j, _ in found(hi, lo, home, band, bands, radius_all):
+        once = (value[i] != value[j]) | (i < j)  # points of one value are found in both orders
+        held.append((i[once], j[once]))
+        if sum(len(x) for x, _ in held) >= BLOCK_PAIRS:
+            settle()
+    settle()
+    return root, links
+
+
 def band_trees(points: DataFrame, bands: int, depth: int) -> list[np.ndarray]:
     """The top levels of each band's tree, from the counts of all values of the points.
 
@@ -308,22 +355,29 @@ def band_trees(points: DataFrame, bands: int, depth: int) -> list[np.ndarray]:
     return out
 
 
-def near_points(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(a, b, hamming) with a < b for every two of the distinct fingerprints (doc_id, hi, lo) within the radius.
+def _by_shard(points: DataFrame, n: int, radius: int, bands: int, shard_points: int) -> GroupedData:
+    """The points, n of distinct fingerprints (hi, lo), with their columns, in each shard that stores or queries them.
 
-    n, their number, sets how deep the shards go; the result doesn't depend on it.
+    n sets how deep the shards go; no result depends on it.
     """
-    kind = points.schema["doc_id"].dataType.simpleString()
     depth = min(max(LEAST_DEPTH, (max(0, n - 1) // shard_points).bit_length()), min(band_widths(bands)))
     trees = points.sparkSession.sparkContext.broadcast(band_trees(points, bands, depth))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in (1, 2))
+            hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
             for b, value in enumerate(band_values(hi, lo, bands)):
                 point, shard, home = route(value, trees.value[b], radius // bands)
                 at = pa.array(point)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array((shard * bands + b).astype(np.int32)), pa.array(home)], ["doc_id", "hi", "lo", "shard", "home"])
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], pa.array((shard * bands + b).astype(np.int32)), pa.array(home)], [*batch.schema.names, "shard", "home"])
+
+    sent = points.mapInArrow(tidy(send), ", ".join(f"{c} {kind}" for c, kind in points.dtypes) + ", shard int, home boolean")
+    return sent.repartition(min(bands << depth, MOST_TASKS), "shard").groupBy("shard")
+
+
+def near_points(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(a, b, hamming) with a < b for every two of the n distinct fingerprints (doc_id, hi, lo) within the radius."""
+    kind = points.schema["doc_id"].dataType.simpleString()
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -338,8 +392,25 @@ def near_points(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BA
         least, most = pc.min_element_wise(a, b), pc.max_element_wise(a, b)
         return pa.table({"a": least, "b": most, "hamming": pa.array(d, pa.int32())}).filter(pc.or_(pc.invert(one_value), pc.less(a, b)))
 
-    sent = points.select("doc_id", "hi", "lo").mapInArrow(tidy(send), f"doc_id {kind}, hi bigint, lo bigint, shard int, home boolean")
-    return sent.repartition(min(bands << depth, MOST_TASKS), "shard").groupBy("shard").applyInArrow(solve, f"a {kind}, b {kind}, hamming int")
+    return _by_shard(points.select("doc_id", "hi", "lo"), n, radius, bands, shard_points).applyInArrow(solve, f"a {kind}, b {kind}, hamming int")
+
+
+def near_hooks(points: DataFrame, n: int, radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(hi, lo, doc_id, hook, links) of the n distinct fingerprints (doc_id, hi, lo, copies) that are near others, for
+    each shard that finds so. The hooks connect what ``near_points`` connects; links add up to the copies of near points.
+    """
+    kind = points.schema["doc_id"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        hi, lo = (table.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+        home, copies = (table.column(c).to_numpy() for c in ("home", "copies"))
+        root, links = hooks(hi, lo, home, copies, int(table.column("shard")[0].as_py()) % bands, bands, radius)
+        some = np.flatnonzero(links)
+        near = table.select(["hi", "lo", "doc_id"]).take(pa.array(some))
+        return near.append_column("hook", table.column("doc_id").take(pa.array(root[some]))).append_column("links", pa.array(links[some]))
+
+    return _by_shard(points.select("doc_id", "hi", "lo", "copies"), n, radius, bands, shard_points).applyInArrow(solve, f"hi bigint, lo bigint, doc_id {kind}, hook {kind}, links bigint")
 
 
 def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
@@ -386,6 +457,32 @@ def groups(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("group"))
 
 
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(doc_id, class_id, links), a row for each id: see above."""
+    prints = staged(fingerprints(docs, doc_id, text).distinct())
+    points = staged(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    near = staged(near_hooks(points, points.count(), radius, bands, shard_points))
+    none = F.lit(None).cast(docs.schema[doc_id].dataType)
+    sums = (
+        points.select("hi", "lo", "doc_id", (F.col("copies") - 1).alias("links"))
+        .unionByName(near.select("hi", "lo", none.alias("doc_id"), "links"))
+        .groupBy("hi", "lo")
+        .agg(F.min("doc_id").alias("point"), F.sum("links").alias("links"))
+    )
+    each = staged(prints.join(sums, ["hi", "lo"]).select("doc_id", "point", "links"))
+    edges = near.select(F.col("hook").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")).unionByName(each.select(F.col("point").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b")))
+    no_links = F.lit(0).cast("bigint").alias("links")
+    return (
+        docs.where(named(doc_id).isNotNull())
+        .select(named(doc_id).alias("doc_id"), none.alias("class_id"), no_links)
+        .unionByName(groups(edges).select("doc_id", F.col("group").alias("class_id"), no_links))
+        .unionByName(each.select("doc_id", none.alias("class_id"), "links"))
+        .groupBy("doc_id")
+        .agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """The input with one document, that of the smallest id, of each connected group of near copies; columns stay."""
     (drop,) = fresh(docs, "_drop")
@@ -393,19 +490,32 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return docs.join(small_enough(found), named(doc_id) == F.col(drop), "left_anti")
 
 
-def _sql() -> str:
+def _sql() -> tuple[str, str]:
     def bits(part: str) -> str:  # sum of votes into one half of the fingerprint
         return " + ".join(f"(CASE WHEN 2 * sum(({part} >> {63 - i}) & 1) > count(*) THEN {1 << (63 - i)}::UBIGINT ELSE 0::UBIGINT END)" for i in range(64))
 
-    return f"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS word FROM documents WHERE text IS NOT NULL),
+    prints = f"""
+w AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS word FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(word), 17, 16))::UBIGINT AS l FROM w),
-f AS (SELECT doc_id, {bits("h")} AS hi, {bits("l")} AS lo FROM m GROUP BY doc_id),
+f AS MATERIALIZED (SELECT doc_id, {bits("h")} AS hi, {bits("l")} AS lo FROM m GROUP BY doc_id),"""
+    classes = f"""
+WITH RECURSIVE{prints}
+e AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM f a JOIN f b ON a.doc_id <> b.doc_id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {RADIUS}),
+c AS (SELECT doc_id, doc_id AS other FROM f UNION SELECT e.v, c.other FROM c JOIN e ON c.doc_id = e.u),
+k AS (SELECT doc_id, min(other) AS class_id FROM c GROUP BY doc_id),
+n AS (SELECT u AS doc_id, count(*) AS links FROM e GROUP BY u)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+    pairs = f"""
+WITH{prints}
 r AS (SELECT hi, lo, min(doc_id) AS rep FROM f GROUP BY hi, lo),
 p AS (SELECT a.rep AS doc_id_a, b.rep AS doc_id_b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INTEGER AS hamming FROM r a JOIN r b ON a.rep < b.rep)
 SELECT * FROM p WHERE hamming <= {RADIUS}
 UNION ALL SELECT r.rep, f.doc_id, 0 FROM f JOIN r USING (hi, lo) WHERE f.doc_id <> r.rep
 """
+    return classes, pairs
 
 
-SQL = _sql()
+#: Of ``near_classes``, by all pairs of documents, and of ``near_pairs``.
+SQL, PAIRS_SQL = _sql()

@@ -486,6 +486,99 @@ def test_simhash_edges(spark):
     assert simhash.drop_near_duplicates(t.limit(0)).count() == 0
 
 
+def classes_by_brute_force(texts_by_id):
+    """(id, class, links) by comparing all pairs of documents with different ids."""
+    ids = sorted(texts_by_id)
+    f, some = simhash.simhash(pa.array([texts_by_id[i] for i in ids], pa.string()))
+    near = (np.bitwise_count(f[:, None] ^ f).sum(2) <= simhash.RADIUS) & some[:, None] & some
+    np.fill_diagonal(near, False)
+    group = np.arange(len(ids))
+    while True:
+        least = np.array([min([group[k], *group[near[k]]]) for k in range(len(ids))], int)
+        if (least == group).all():
+            return {(i, ids[g], int(n)) for i, g, n in zip(ids, group, near.sum(1), strict=True)}
+        group = least
+
+
+def test_near_classes(spark, docs, rows):
+    want = classes_by_brute_force({r["doc_id"]: r["text"] for r in rows})
+    assert any(i != c for i, c, _ in want) and any(i == c and not n for i, c, n in want)
+    for points in (simhash.SHARD_POINTS, 20):
+        got = [tuple(r) for r in simhash.near_classes(docs, shard_points=points).collect()]
+        assert len(got) == len(rows) and set(got) == want
+    kept = {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert kept == {i for i, c, _ in want if i == c}
+
+
+def test_near_dedup_rows_follow_the_documents(spark, tmp_path):
+    """Near copies that all differ, some of them copied: a row for each, however many pairs they make, no link lost."""
+    rng = random.Random(6)
+    base = [f"word{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for k in rng.sample(range(200), 6):
+            words[k] = f"other{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += texts[:20] + [" ".join(f"far{k}-{i}" for i in range(60)) for k in range(30)]
+    ids = rng.sample(range(10**6), len(texts))
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    want = classes_by_brute_force(dict(zip(ids, texts, strict=True)))
+    assert sum(n for *_, n in want) > 20 * len(texts)
+    got = [tuple(r) for r in registry.queries()["op8_simhash_near_dedup"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(texts) and set(got) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.execute(simhash.SQL).fetchall()) == want
+
+
+def test_hooks_by_blocks(monkeypatch):
+    """The hooks and links of a shard are those of its pairs, in one block or many."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    points = np.unique(np.array([base[rng.integers(60)] ^ np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), replace=False)) for _ in range(2)], np.uint64) for _ in range(700)]), axis=0)
+    hi, lo, home, copies = points[:, 0], points[:, 1], np.ones(len(points), bool), rng.integers(1, 4, len(points))
+    p, q, _ = simhash.search(hi, lo, home, 0, 7, 20)
+    pairs = {(min(a, b), max(a, b)) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    group, links = list(range(len(points))), [0] * len(points)
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        links[a] += copies[b]
+        links[b] += copies[a]
+        group[max(find(a), find(b))] = min(find(a), find(b))
+    assert len(pairs) > 500
+    for block in (simhash.BLOCK_PAIRS, 16):
+        monkeypatch.setattr(simhash, "BLOCK_PAIRS", block)
+        root, n = simhash.hooks(hi, lo, home, copies, 0, 7, 20)
+        assert n.tolist() == links and root.tolist() == [find(i) for i in range(len(points))]
+
+
+def test_near_classes_edges(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    texts = [None, "", "!!! ...", text, text.upper(), text.replace("word7 ", "other "), text, "éa " * 100_000, text, text]
+    t = table(spark, texts, ids=[0, 1, 2, 9, 4, 5, 9, 7, None, 9])
+    got = sorted(tuple(r) for r in simhash.near_classes(t).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (4, 4, 2), (5, 4, 2), (7, 7, 0), (9, 4, 2)]
+    named = simhash.near_classes(t.selectExpr("concat('d', doc_id) AS `a.id`", "text"), "a.id").collect()
+    assert sorted(tuple(r) for r in named) == [(f"d{i}", f"d{c}", n) for i, c, n in got]
+    # an id of two texts is one row that joins the classes of both
+    far = " ".join(f"far{i}" for i in range(80))
+    both = table(spark, [text, far, text, far, "alone"], ids=[3, 3, 8, 6, 1])
+    assert sorted(tuple(r) for r in simhash.near_classes(both).collect()) == [(1, 1, 0), (3, 3, 2), (6, 3, 1), (8, 3, 1)]
+    assert simhash.near_classes(t.limit(0)).count() == 0 and simhash.near_classes(t.where("doc_id < 3")).count() == 3
+
+
+def test_near_pairs_against_sql(spark, docs, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(tuple(r) for r in simhash.near_pairs(docs).collect()) == sorted(con.execute(simhash.PAIRS_SQL).fetchall())
+
+
 def test_near_copies_are_found(spark):
     """Held against Jaccard similarity of word triples: at least 0.9 of the pairs above 0.7, none below 0.3."""
     rows = [(r[0], r[1]) for r in documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()]
