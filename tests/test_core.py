@@ -386,6 +386,24 @@ def test_nearest_far_points(spark):
     assert got == dict(enumerate(d.argmin(1).tolist()))
 
 
+def test_nearest_of_crowded_and_equal_points(spark):
+    """Small parts, equal places, ties, points without a place; and 50,000 points within one cell of the first grid, whose
+    pairs are too many to be met."""
+    import time
+
+    rng = np.random.default_rng(5)
+    for p in (rng.normal(size=(300, 2)), rng.integers(0, 9, (200, 2)).astype(float), np.stack([np.zeros(90), rng.normal(size=90)], 1), np.zeros((5, 2))):
+        rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(p)]
+        got = rel.nearest(spark.createDataFrame([*rows, (9999, None, 0.0), (9998, math.nan, 0.0)], "id int, x double, y double"), 0.05, part=20).collect()
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+        np.fill_diagonal(d, np.inf)
+        assert len(got) == len(p) and {r["id"]: r["other"] for r in got} == dict(enumerate(d.argmin(1).tolist()))
+    many = spark.range(50_000).selectExpr("id", "rand(1) x", "rand(2) y")
+    began = time.time()
+    assert rel.nearest(many, 2.0).count() == 50_000
+    assert time.time() - began < 60
+
+
 # sources and sinks
 
 
