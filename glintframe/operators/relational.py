@@ -172,7 +172,9 @@ def nearest(points: DataFrame, cell: float | None = None, part: int = PART) -> D
 
 def neighbour_pairs(points: DataFrame, limit: int, cell: float) -> DataFrame:
     """Nearest neighbours within 1.3 of the median distance that lie along an axis (3 to 1), tightest first."""
-    near = nearest(points, cell)
+    from glintframe.sources.shared import checkpointed
+
+    near = checkpointed(nearest(points, cell))
     xy = points.select("id", "x", "y")
     pitch = near.agg(F.percentile("d", 0.5).alias("_p"))
     j = near.join(xy, "id").join(xy.select(F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")), "other")

@@ -404,6 +404,20 @@ def test_nearest_of_crowded_and_equal_points(spark):
     assert time.time() - began < 60
 
 
+def test_neighbour_pairs_of_crowded_points(spark):
+    import time
+
+    p = np.random.default_rng(6).uniform(size=(50_000, 2)).round(6)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id int, x double, y double")
+    began = time.time()
+    got = rel.neighbour_pairs(df, 20, 2.0).collect()
+    assert time.time() - began < 60 and len(got) == 20
+    for r in got:
+        d = np.hypot(*(p - p[r["id"]]).T)
+        d[r["id"]] = np.inf
+        assert r["d"] == pytest.approx(d.min()) and d[r["other"]] == d.min()
+
+
 # sources and sinks
 
 
