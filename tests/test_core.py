@@ -663,6 +663,22 @@ def test_variants_and_report(spark, sf):
     assert lines[1].startswith("corr_raw") and lines[4].startswith("noise_sigma")
 
 
+def test_traces_are_filtered_side_by_side(spark):
+    """One call for all traces of a length, in the order given; and each row as if it were filtered alone."""
+    rng = np.random.default_rng(8)
+    traces = [rng.normal(size=n) for n in (64, 90, 64, 64, 90)]
+    calls = []
+    got = snr._by_length(traces, lambda rows: calls.append(rows.shape) or signal.highpass(rows, 20.0, 800.0))
+    assert sorted(calls) == [(2, 90), (3, 64)]
+    assert all((g == signal.highpass(y, 20.0, 800.0)).all() for g, y in zip(got, traces, strict=True))
+    cells = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(traces)], "cell_id int, y array<double>")
+    for r in snr.variant_effects(cells, 800.0, k=1.5).collect():
+        x = signal.highpass(snr.VARIANTS[r["variant"]](traces[r["cell_id"]], 800.0), 20.0, 800.0)
+        assert r["sigma"] == signal.robust_sigma(x) and r["n_spikes"] == signal.spike_metrics(x, r["sigma"], 800.0, 1.5)["n_spikes"]
+    for r in snr.cell_metrics(cells, 800.0, k=1.5).collect():
+        assert r.asDict() == {"cell_id": r["cell_id"], **signal.trace_metrics(traces[r["cell_id"]], 800.0, k=1.5)}
+
+
 def test_long_keys_are_grouped_in_linear_time(spark):
     """Many times in one key, across batches, against the rule written out."""
     rng = np.random.default_rng(3)
