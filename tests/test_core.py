@@ -248,6 +248,34 @@ def test_dbscan_rules():
     assert arrays.dbscan(p, 1.5, 3).tolist() == [0, 0, 0, 0, 1, 1, 1, -1]
 
 
+def test_dbscan_lists_no_pairs():
+    """Against the rule written out with all pairs, on odd points too; and 100,000 points that are nearly all near."""
+    import tracemalloc
+
+    def all_pairs(p, eps, least):
+        near = ((p[:, None] - p[None]) ** 2).sum(-1) <= eps * eps
+        core, labels, k = near.sum(1) >= least, np.full(len(p), -1), 0
+        for i in range(len(p)):
+            if core[i] and labels[i] < 0:
+                labels[i], stack = k, [i]
+                while stack:
+                    for j in np.flatnonzero(near[stack.pop()] & (labels < 0)):
+                        labels[j] = k
+                        stack += [j] if core[j] else []
+                k += 1
+        return labels
+
+    rng = np.random.default_rng(7)
+    gap = np.array([[0.0, 0.0], [0.01, 0.01], [1.04, 1.04], [1.05, 1.05]])
+    for p in (rng.normal(size=(150, 2)) * 3, rng.integers(0, 8, (150, 2)).astype(float), rng.integers(0, 30, (150, 2)) / 2, gap, np.where(rng.random((40, 2)) < 0.1, np.nan, 1.0), np.zeros((0, 2))):
+        for eps, least in ((1.5, 3), (1.0, 4), (0.5, 2), (0.0, 2), (2.0, 12), (1.5, 2)):
+            assert arrays.dbscan(p, eps, least).tolist() == all_pairs(p, eps, least).tolist()
+    tracemalloc.start()
+    assert (arrays.dbscan(rng.uniform(size=(100_000, 2)), 1.5, 3) == 0).all()
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_traces_of_planted_cells(spark):
     rng = np.random.default_rng(9)
     f = np.zeros((8, 9, 3))
