@@ -25,6 +25,9 @@ CHUNK = 64
 #: Bytes of all fields' images up to which they are broadcast; beyond, frames are shuffled by field once.
 BROADCAST_BYTES = 256 << 20
 
+#: Bytes of a field's frames up to which one task does all stages on it.
+FIELD_BYTES = 64 << 20
+
 Images = dict[str, np.ndarray]
 
 
@@ -163,17 +166,22 @@ def reference_images(frames: DataFrame, height: int, width: int, eps: float = EP
     return stats.mapInPandas(lambda it: (finish(p) for p in it if len(p)), f"fov {kind}, mean array<double>, corr array<double>, reference array<double>")
 
 
+def _slopes(mean: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    m = mean.reshape(height, width)
+    gx, gy = np.zeros_like(m), np.zeros_like(m)
+    gx[:, 1:-1], gy[1:-1] = (m[:, 2:] - m[:, :-2]) / 2, (m[2:] - m[:-2]) / 2
+    gx[:, 0], gx[:, -1], gy[0], gy[-1] = gx[:, 1], gx[:, -2], gy[1], gy[-2]
+    return gx.ravel(), gy.ravel()
+
+
 def gradients(images: DataFrame, height: int, width: int) -> DataFrame:
     """(fov, gx, gy) of images (fov, mean): central differences; edges take their neighbour's."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in pdf.itertuples():
-            m = np.asarray(r.mean).reshape(height, width)
-            gx, gy = np.zeros_like(m), np.zeros_like(m)
-            gx[:, 1:-1], gy[1:-1] = (m[:, 2:] - m[:, :-2]) / 2, (m[2:] - m[:-2]) / 2
-            gx[:, 0], gx[:, -1], gy[0], gy[-1] = gx[:, 1], gx[:, -2], gy[1], gy[-2]
-            rows.append({"fov": r.fov, "gx": gx.ravel(), "gy": gy.ravel()})
+            gx, gy = _slopes(np.asarray(r.mean), height, width)
+            rows.append({"fov": r.fov, "gx": gx, "gy": gy})
         return pd.DataFrame(rows, columns=["fov", "gx", "gy"])
 
     kind = images.schema["fov"].dataType.simpleString()
@@ -183,27 +191,29 @@ def gradients(images: DataFrame, height: int, width: int) -> DataFrame:
 def motion_correct(frames: DataFrame, height: int, width: int, truncate: int = 10) -> DataFrame:
     """Each frame less its least-squares fit by the gradients of its field's mean image; least norm if singular."""
     g = gradients(mean_images(truncate_last(frames, truncate)), height, width)
+    return with_images(frames, g, ["gx", "gy"], lambda x, _, own: _less_motion(x, own["gx"], own["gy"]))
 
-    def kernel(x: np.ndarray, _: np.ndarray, own: Images) -> np.ndarray:
-        basis = np.stack([own["gx"], own["gy"]])
-        gram = basis @ basis.T
-        return x - (x @ basis.T @ np.linalg.pinv(gram, rcond=1e-14, hermitian=True)) @ basis
 
-    return with_images(frames, g, ["gx", "gy"], kernel)
+def _less_motion(x: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    basis = np.stack([gx, gy])
+    gram = basis @ basis.T
+    return x - (x @ basis.T @ np.linalg.pinv(gram, rcond=1e-14, hermitian=True)) @ basis
 
 
 def clip_saturation(frames: DataFrame, threshold: float) -> DataFrame:
     return frames.withColumn("px", F.transform("px", lambda v: F.when(v > threshold, 0.0).otherwise(v)))
 
 
+def _range_sums(x: np.ndarray, t: np.ndarray, ranges: Ranges) -> Images:
+    inside = [(t + 1 >= a) & (t + 1 <= b) for a, b in ranges]
+    return {"n": np.array([float(k.sum()) for k in inside]), "s": np.concatenate([x[k].sum(0) for k in inside])}
+
+
 def range_means(frames: DataFrame, ranges: Ranges) -> DataFrame:
     """(fov, means): the mean images of the 1-based inclusive ranges one after the other; frames in several count in
     each."""
 
-    def partial(x: np.ndarray, t: np.ndarray) -> Images:
-        inside = [(t + 1 >= a) & (t + 1 <= b) for a, b in ranges]
-        return {"n": np.array([float(k.sum()) for k in inside]), "s": np.concatenate([x[k].sum(0) for k in inside])}
-
+    partial = lambda x, t: _range_sums(x, t, ranges)
     add = lambda x, y: {k: x[k] + y[k] for k in x}
     sums = reduce_fields(frames, ["n", "s"], partial, add)
     each = (F.size("s") / len(ranges)).cast("int")
@@ -212,18 +222,18 @@ def range_means(frames: DataFrame, ranges: Ranges) -> DataFrame:
 
 def subtract_background(frames: DataFrame, samples: DataFrame, ranges: Ranges) -> DataFrame:
     """Frames less the samples (fov, means), interpolated between the ranges' middle frames, clamped at both ends."""
-    at = np.array(anchors(ranges))
+    return with_images(frames, samples, ["means"], lambda x, t, own: _less_background(x, t, own["means"], ranges))
 
-    def kernel(x: np.ndarray, t: np.ndarray, own: Images) -> np.ndarray:
-        means = own["means"].reshape(len(at), -1)
-        f = t + 1.0
-        before = np.clip(np.searchsorted(at, f, "right") - 1, 0, len(at) - 1)
-        after = np.minimum(before + 1, len(at) - 1)
-        gap = np.maximum(at[after] - at[before], 1.0)
-        weight = np.clip(np.where(after > before, (f - at[before]) / gap, 0.0), 0.0, 1.0)[:, None]
-        return x - ((1 - weight) * means[before] + weight * means[after])
 
-    return with_images(frames, samples, ["means"], kernel)
+def _less_background(x: np.ndarray, t: np.ndarray, means: np.ndarray, ranges: Ranges) -> np.ndarray:
+    at = np.array(anchors(ranges))
+    means = means.reshape(len(at), -1)
+    f = t + 1.0
+    before = np.clip(np.searchsorted(at, f, "right") - 1, 0, len(at) - 1)
+    after = np.minimum(before + 1, len(at) - 1)
+    gap = np.maximum(at[after] - at[before], 1.0)
+    weight = np.clip(np.where(after > before, (f - at[before]) / gap, 0.0), 0.0, 1.0)[:, None]
+    return x - ((1 - weight) * means[before] + weight * means[after])
 
 
 def pixel_blocks(frames: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -253,14 +263,53 @@ def _block_schema(frames: DataFrame) -> str:
 def filtered_blocks(frames: DataFrame, window: int = 8, block: int = BLOCK) -> DataFrame:
     """(fov, block, t, y): moving median of each pixel less the sample."""
 
-    def kernel(t: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        out = np.empty_like(x)
-        for a in range(0, x.shape[1], CHUNK):
-            part = x[:, a : a + CHUNK].T
-            out[:, a : a + CHUNK] = (arrays.moving_median(part, window) - part).T
-        yield from zip(t.tolist(), out, strict=True)
+    return _in_time(pixel_blocks(frames, block), _block_schema(frames), lambda t, x: zip(t.tolist(), _less_median(x, window), strict=True))
 
-    return _in_time(pixel_blocks(frames, block), _block_schema(frames), kernel)
+
+def _less_median(x: np.ndarray, window: int) -> np.ndarray:
+    out = np.empty_like(x)
+    for a in range(0, x.shape[1], CHUNK):
+        part = x[:, a : a + CHUNK].T
+        out[:, a : a + CHUNK] = (arrays.moving_median(part, window) - part).T
+    return out
+
+
+def process(frames: DataFrame, height: int, width: int, ranges: Ranges, clip: float, window: int = 8, truncate: int = 10, block: int = BLOCK, field_bytes: int = FIELD_BYTES) -> DataFrame:
+    """(fov, block, t, y): frames without background and motion, saturated pixels cleared, and filtered in time.
+
+    One task does all stages on a field of up to field_bytes: its frames are shuffled once and nothing is written between.
+    Larger fields go through the stages one by one. frames are read more than once.
+    """
+    from glintframe.sources.shared import checkpointed
+
+    frames = frames.where(F.col("px").isNotNull())
+    size = frames.groupBy(F.col("fov").alias("_fov")).agg((F.count("*") * height * width * 8).alias("_size"))
+    large = checkpointed(size.where(F.col("_size") > field_bytes).select("_fov"))
+    many = not large.isEmpty()
+    small = frames.join(large, F.col("fov").eqNullSafe(F.col("_fov")), "left_anti") if many else frames
+
+    def field(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("t")
+        t, x = table["t"].to_numpy(), _stack(table["px"].combine_chunks())
+        sums = _range_sums(x, t, ranges)
+        if not sums["n"].all():
+            raise ZeroDivisionError("a field has a range without frames")
+        x = _less_background(x, t, sums["s"] / np.repeat(sums["n"], x.shape[1]), ranges)
+        x = _less_motion(x, *_slopes(x[t <= t.max() - truncate].mean(0), height, width)) if (t <= t.max() - truncate).any() else x[:0]
+        t = t[: len(x)]
+        x = _less_median(np.where(x > clip, 0.0, x), window) if len(x) else x
+        rows = np.tile(np.arange(len(t)), -(-x.shape[1] // block))
+        cuts = range(0, x.shape[1], block)
+        y = [x[i, a : a + block] for a in cuts for i in range(len(t))]
+        head = table["fov"].combine_chunks().take(pa.array(np.zeros(len(rows), np.int64)))
+        return pa.table({"fov": head, "block": pa.array(np.repeat(np.arange(len(cuts)), len(t)), pa.int32()), "t": pa.array(t[rows], pa.int32()), "y": pa.array(y, pa.list_(pa.float64()))})
+
+    out = small.select("fov", "t", "px").groupBy("fov").applyInArrow(field, _block_schema(frames))
+    if not many:
+        return out
+    big = frames.join(large, F.col("fov").eqNullSafe(F.col("_fov"))).select("fov", "t", "px")
+    big = checkpointed(subtract_background(big, range_means(big, ranges), ranges))
+    return out.unionByName(filtered_blocks(clip_saturation(motion_correct(big, height, width, truncate), clip), window, block))
 
 
 def noise_blocks(filtered: DataFrame, ranges: Ranges, floor_pct: float = 5.0) -> DataFrame:

@@ -89,6 +89,4 @@ def fields_noise(spark: SparkSession, sf: str) -> DataFrame:
 def fields_process(spark: SparkSession, sf: str) -> DataFrame:
     """Background, motion, saturation and the temporal filter of as many fields as there are tens of suppliers."""
     movie = checkpointed(fields(spark, sf, F.floor((F.col("l_suppkey") - 1) / 10).cast("int")))
-    corrected = fr.subtract_background(movie, fr.range_means(movie, RANGES), RANGES)
-    corrected = fr.clip_saturation(fr.motion_correct(checkpointed(corrected), H, W), mq.CLIP)
-    return fr.filtered_blocks(corrected, block=256)
+    return fr.process(movie, H, W, RANGES, mq.CLIP, block=256)

@@ -749,6 +749,21 @@ def test_fields_as_arrays_agree_with_the_long_form(spark):
     assert fr.reference_images(none, h, w).count() == 0 == fr.filtered_blocks(none).count()
 
 
+def test_fields_in_one_task_agree_with_the_stages(spark):
+    """Whole fields in a task, all of them by stages, and some by each way; a field that is all truncated goes."""
+    from glintframe.operators import frames as fr
+
+    rng = np.random.default_rng(12)
+    h, w, ranges = 6, 9, ((1, 3), (5, 7))
+    rows = [(f, t, (50 + 20 * rng.normal(size=h * w)).tolist()) for f, n in (("a", 30), ("b", 41), ("c", 7)) for t in range(n)]
+    frames = spark.createDataFrame([*rows, ("a", 99, None)], "fov string, t int, px array<double>").repartition(5)
+    got = [{(r["fov"], r["block"], r["t"]): r["y"] for r in fr.process(frames, h, w, ranges, 90.0, block=10, field_bytes=b).collect()} for b in (1 << 20, 0, 35 * h * w * 8)]
+    assert len(got[0]) == 6 * (30 + 41) and {k[0] for k in got[0]} == {"a", "b"}
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(np.allclose(other[k], y, atol=1e-9) for k, y in got[0].items())
+    assert fr.process(frames.where("fov = 'z'"), h, w, ranges, 90.0).count() == 0
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     from glintframe.sources.shared import shared_folder
 
