@@ -145,6 +145,28 @@ def test_assignment_is_optimal():
         assert len(i) == min(n, m) and c[i, j].sum() == best and len(set(j.tolist())) == len(j)
 
 
+def test_assignment_of_points_needs_no_matrix():
+    """Least total distance against the solver on the matrix, on odd points too; and memory far below a matrix."""
+    import tracemalloc
+
+    from glintframe.kernels import matching
+
+    rng = np.random.default_rng(3)
+    makers = [lambda k: rng.normal(size=(k, 2)), lambda k: rng.integers(0, 6, (k, 2)).astype(float), lambda k: np.stack([np.zeros(k), rng.normal(size=k)], 1), lambda k: rng.normal(size=(k, 2)) + 100 * (rng.random((k, 1)) < 0.5)]
+    for n, m in ((0, 3), (1, 1), (1, 5), (5, 1), (30, 30), (120, 121), (121, 120), (40, 200), (300, 300)):
+        for make in makers:
+            x, y = make(n), make(m)
+            i, j = matching.assign_points(x, y)
+            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+            a, b = arrays.assign(d) if n else ([], [])
+            assert len(i) == len(set(i.tolist())) == len(set(j.tolist())) == min(n, m)
+            assert d[i, j].sum() == pytest.approx(d[a, b].sum(), rel=1e-9, abs=1e-9)
+    tracemalloc.start()
+    matching.assign_points(rng.normal(size=(2000, 2)), rng.normal(size=(2000, 2)))
+    assert tracemalloc.get_traced_memory()[1] < 16e6 < 2000 * 2000 * 8
+    tracemalloc.stop()
+
+
 def test_runs_hold_every_cell(spark, sf):
     e = sorted((r["vec_id"], *(100 * float(v) for v in r["embedding"][:2])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())
     x, y = (np.array([r for r in e if r[0] % 2 == k]) for k in (0, 1))
